@@ -40,20 +40,19 @@ def as_interval(duration: Duration) -> str:
     return f"{micros_of(duration)} microseconds"
 
 
-def epoch_micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since 1970 of a timestamp column with or without zone."""
+def epoch_micros_text(df: DataFrame, name: str) -> str:
+    """SQL for microseconds since 1970 of a timestamp column with or without zone."""
     if isinstance(df.schema[name].dataType, T.TimestampNTZType) and not is_utc(df.sparkSession):
         raise ValueError("set spark.sql.session.timeZone to UTC to read zone-less times")
-    return F.unix_micros(F.col(name).cast("timestamp"))
+    return f"unix_micros(cast(`{name}` as timestamp))"
 
 
-def epoch_millis(df: DataFrame, name: str) -> Column:
-    return F.expr(f"({_text(df, name)}) div 1000")
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    return F.expr(epoch_micros_text(df, name))
 
 
-def _text(df: DataFrame, name: str) -> str:
-    epoch_micros(df, name)  # same zone check
-    return f"unix_micros(cast(`{name}` as timestamp))"
+def epoch_millis(df: DataFrame, name: str) -> Column:
+    return F.expr(f"{epoch_micros_text(df, name)} div 1000")
 
 
 def time_type(df: DataFrame, name: str) -> str:

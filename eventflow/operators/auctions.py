@@ -20,9 +20,7 @@ from eventflow.operators.windows import (
     sliding_count,
     slot_of,
     top_n_per_window,
-    top_n_stream,
     window_bounds,
-    window_counts,
 )
 from eventflow.plans.prefix import running, trailing
 from eventflow.plans.skew import skew_safe_join
@@ -142,7 +140,7 @@ def q04_average_price_for_category(
     ``won`` comes from ``winning_bids``; order is (expires, auction_id).
     """
     so_far = running(
-        won,
+        won.select("auction_id", "category", "expires", "price"),
         ["category"],
         ["expires", "auction_id"],
         {
@@ -171,18 +169,12 @@ def q04_final(won: DataFrame) -> DataFrame:
 def q05_hot_items(
     bids: DataFrame, size: Duration, slide: Duration, n: int = 10, method: str = "auto"
 ) -> DataFrame:
-    """The ``n`` auctions with the most bids in each sliding window.
+    """The ``n`` auctions with the most bids in each sliding window, one row per rank.
 
-    Tables give one row per window and rank. Streams (with a watermark on
-    ``ts``) give one row per window with the list ``items``.
+    The streaming form is ``streaming.auctions.q05_hot_items``.
     """
     if bids.isStreaming:
-        width, step = micros_of(size), micros_of(slide)
-        if method == "auto":
-            panes = width % step == 0 and width // step > DIRECT_RATIO
-            method = "panes" if panes else "direct"
-        counts = window_counts(bids, "ts", ["auction_id"], size, slide, method)
-        return top_n_stream(counts, slide, "auction_id", n)
+        raise ValueError("use eventflow.streaming.auctions.q05_hot_items for streams")
     counts = sliding_count(bids, "ts", "auction_id", size, slide, method)
     return top_n_per_window(counts, "auction_id", n)
 
@@ -193,7 +185,7 @@ def q06_avg_selling_price(
     """Per winning bid: average price of the seller's last ``n`` closed auctions."""
     options = {} if block_rows is None else {"block_rows": block_rows}
     result = trailing(
-        won,
+        won.select("auction_id", "seller_id", "expires", "price"),
         ["seller_id"],
         ["expires", "auction_id"],
         -(n - 1),
@@ -261,24 +253,14 @@ def q08_monitor_new_users(
     width, step = micros_of(size), micros_of(slide)
     if width % step != 0:
         raise ValueError("the slide must divide the window size")
-    first = (
-        _pane_rows(arrivals, step)
-        .groupBy("pane", "id")
-        .agg(F.min(F.struct("ts", "name", "state")).alias("p"))
-    )
-    newcomers = (
-        _into_windows(first, width // step)
-        .groupBy("slot", "id")
-        .agg(F.min("p").alias("p"))
-    )
-    counted = (
-        _pane_rows(sales, step).groupBy("pane", "id").agg(F.count(F.lit(1)).alias("n"))
-    )
-    sold = (
-        _into_windows(counted, width // step)
-        .groupBy("slot", "id")
-        .agg(F.sum("n").alias("auctions"))
-    )
+    ratio = width // step
+    first = _pane_rows(arrivals, step).select("pane", "id", F.struct("ts", "name", "state").alias("p"))
+    counted = _pane_rows(sales, step).select("pane", "id", F.lit(1).cast("bigint").alias("n"))
+    if ratio > DIRECT_RATIO:  # one row per pane and id before rows are copied into windows
+        first = first.groupBy("pane", "id").agg(F.min("p").alias("p"))
+        counted = counted.groupBy("pane", "id").agg(F.sum("n").alias("n"))
+    newcomers = _into_windows(first, ratio).groupBy("slot", "id").agg(F.min("p").alias("p"))
+    sold = _into_windows(counted, ratio).groupBy("slot", "id").agg(F.sum("n").alias("auctions"))
     bounds = window_bounds(F.col("slot"), step, width, time_type(persons, "ts"))
     return newcomers.join(sold, ["slot", "id"]).select(
         *bounds,

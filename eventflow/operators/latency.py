@@ -9,6 +9,8 @@ from eventflow.functions.timing import epoch_micros, epoch_millis, time_on_day
 from eventflow.functions.values import whole_number, without_last_char
 from eventflow.operators.shaping import split_fields
 from eventflow.plans.prefix import running
+from eventflow.plans.sizes import is_small
+from eventflow.session import pin
 
 # Fixed value: the profile reports five steps for each halving of the rest up to 100 %.
 TICKS_PER_HALVING = 5
@@ -25,25 +27,23 @@ def latency_log(
     above all earlier ones. That is the same as: no larger timestamp arrived
     earlier, which needs only the first arrival of each distinct timestamp.
     """
-    seen = df.select(
-        epoch_micros(df, ts).alias("__t"),
-        epoch_millis(df, ts).alias("ts_ms"),
-        epoch_micros(df, arrival).alias("__a"),
-        epoch_millis(df, arrival).alias("arrival_ms"),
-    )
-    first = seen.groupBy("__t").agg(
-        F.min("__a").alias("__a"),
-        F.min("ts_ms").alias("ts_ms"),
-        F.min("arrival_ms").alias("arrival_ms"),
-    )
+    if spread is None:
+        spread = not is_small(df)
+    first = (
+        df.select(epoch_micros(df, ts).alias("__t"), epoch_micros(df, arrival).alias("__a"))
+        .groupBy("__t")
+        .agg(F.min("__a").alias("__a"))
+    )
+    if spread:
+        first = pin(first)
+    start = first.agg(F.min_by("__t", F.struct("__a", "__t")).alias("start")).scalar()
     flagged = running(
         first, [], [F.col("__t").desc()], {"__earliest": ("min", F.col("__a"))}, spread
     )
-    start = seen.agg(F.min_by("ts_ms", F.struct("__a", "__t")).alias("start")).scalar()
-    latency = F.col("arrival_ms") - F.col("ts_ms")
-    return flagged.where(F.col("__a") == F.col("__earliest")).select(
-        (F.col("ts_ms") - start).alias("elapsed_ms"),
-        no_skew(latency).alias("latency_ms"),
+    new_highest = flagged.where(F.col("__a") == F.col("__earliest")).withColumn("__start", start)
+    return new_highest.select(
+        F.expr("__t div 1000 - __start div 1000").alias("elapsed_ms"),
+        no_skew(F.expr("__a div 1000 - __t div 1000")).alias("latency_ms"),
     )
 
 
@@ -77,13 +77,28 @@ def phase_of(elapsed: Column, warmup: int, total: int) -> Column:
     )
 
 
-def measured(log: DataFrame, warmup: int, total: int) -> DataFrame:
-    """Samples after the warm-up, up to and including the first at or past ``total``."""
-    last = (
-        log.where(F.col("elapsed_ms") >= total).agg(F.min("elapsed_ms").alias("last")).scalar()
+def measured_histogram(log: DataFrame, warmup: int, total: int) -> DataFrame:
+    """Samples per latency after the warm-up, up to and including the first at or past ``total``.
+
+    One pass: all later samples fall into one group of which only the first counts.
+    """
+    grouped = (
+        log.where(F.col("elapsed_ms") >= warmup)
+        .groupBy(F.when(F.col("elapsed_ms") < total, F.col("latency_ms")).alias("latency"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min_by("latency_ms", "elapsed_ms").alias("first"),
+        )
+    )
+    late = F.col("latency").isNull()
+    return (
+        grouped.select(
+            F.coalesce("latency", "first").alias("latency_ms"),
+            F.when(late, F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("n"),
+        )
+        .groupBy("latency_ms")
+        .agg(F.sum("n").alias("n"))
     )
-    elapsed = F.col("elapsed_ms")
-    return log.where((elapsed >= warmup) & ((elapsed < total) | (elapsed == last)))
 
 
 def latency_profile(
@@ -99,7 +114,11 @@ def latency_profile(
     reaches it. The last row is the maximum at percentile 1, whose inverse
     1 / (1 - p) is null. Latencies are not rounded.
     """
-    counts = histogram(measured(log, warmup, total))
+    if spread is None:
+        spread = not is_small(log)
+    counts = measured_histogram(log, warmup, total)
+    if spread:
+        counts = pin(counts)
     ranked = running(
         counts, [], ["latency_ms"], {"total_count": ("sum", F.col("n"))}, spread
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventflow.functions.timing import (
     Duration,
     as_interval,
-    epoch_micros,
+    epoch_micros_text,
     from_epoch_micros,
     micros_of,
     time_type,
@@ -34,8 +34,8 @@ def with_event_time(df: DataFrame, ts: str = "ts", lag: Duration = "0 seconds")
 
 def slot_of(df: DataFrame, ts: str, width: int) -> Column:
     """Number of the ``width`` microseconds wide slot the event time falls into."""
-    micros = epoch_micros(df, ts)
-    return ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint")
+    micros = epoch_micros_text(df, ts)
+    return F.expr(f"({micros} - pmod({micros}, {width})) div {width}")
 
 
 def window_bounds(
@@ -48,6 +48,12 @@ def window_bounds(
     )
 
 
+def pane_method(method: str, width: int, step: int) -> str:
+    if method != "auto":
+        return method
+    return "panes" if width % step == 0 and width // step > DIRECT_RATIO else "direct"
+
+
 def sliding_count(
     df: DataFrame,
     ts: str,
@@ -65,9 +71,7 @@ def sliding_count(
     keys = [keys] if isinstance(keys, str) else list(keys)
     width, step = micros_of(size), micros_of(size if slide is None else slide)
     divides = width % step == 0
-    if method == "auto":
-        wanted = width // step > DIRECT_RATIO
-        method = "panes" if divides and wanted else "direct"
+    method = pane_method(method, width, step)
     if method == "panes":
         if not divides:
             raise ValueError("panes need a slide that divides the window size")
@@ -152,33 +156,6 @@ def top_n_per_window(
     return ranked.select("window_start", "window_end", rank, key, value)
 
 
-def top_n_stream(
-    counts: DataFrame, slide: Duration, key: str, n: int, value: str = "n", salts: int = 32
-) -> DataFrame:
-    """As ``top_n_per_window`` on a stream of ``window_counts``: one list per window.
-
-    Two steps, so that the keys of a window are first ranked in ``salts`` parts.
-    """
-    step = as_interval(slide)
-    entry = F.struct((-F.col(value)).alias("order"), F.col(key).alias(key))
-    parts = (
-        counts.groupBy(
-            F.window(F.window_time("window"), step),
-            F.pmod(F.xxhash64(key), F.lit(salts)).alias("part"),
-        )
-        .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, n).alias("best"))
-    )
-    whole = parts.groupBy(F.window(F.window_time("window"), step)).agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, n).alias("best")
-    )
-    return whole.select(
-        F.col("window.end").alias("window_end"),
-        F.transform(
-            "best", lambda e: F.struct(e[key].alias(key), (-e["order"]).alias(value))
-        ).alias("items"),
-    )
-
-
 def _copy_to_windows(df: DataFrame, ts: str, width: int, step: int) -> DataFrame:
     """Each row once per window, with the slot the window starts at in ``__slot``."""
     ratio = width // step
@@ -209,8 +186,8 @@ def _count_by_panes(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     begin, end = F.col("__begin"), F.col("__end")
-    first = F.expr(f"floor(__begin / {chunk})")
-    last = F.expr(f"floor((__end - 1) / {chunk})")
+    first = F.expr(f"(__begin - pmod(__begin, {chunk})) div {chunk}")
+    last = F.expr(f"(__end - 1 - pmod(__end - 1, {chunk})) div {chunk}")
 
     def change(at_chunk: Column, slot: Column, n: Column) -> Column:
         return F.struct(at_chunk.alias("chunk"), slot.alias("slot"), n.alias("change"))

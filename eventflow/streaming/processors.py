@@ -114,7 +114,10 @@ class WinningBid(StatefulProcessor):
             self.lot.update(lot)
         kept = [tuple(o) for o in self.offers.get()]
         if opened or (lot is None and new):
-            self._wake_at(
+            if kept:  # waiting for the auction, so there is a clean-up timer
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(
                 _ceil_millis(lot[3])
                 if lot is not None
                 else _ceil_millis(max(o[1] for o in kept + new)) + self.keep_millis
@@ -130,11 +133,6 @@ class WinningBid(StatefulProcessor):
                 self.offers.clear()
         return iter(())
 
-    def _wake_at(self, millis: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(millis)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         lot = self.lot.get()
         offers = [tuple(o) for o in self.offers.get()]

@@ -64,10 +64,12 @@ def run_to_table(
     df: DataFrame,
     mode: str = "append",
     folder: str | None = None,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
     timeout_seconds: int | None = None,
 ) -> DataFrame:
     """Work off all available input into parquet and return what was written.
 
+    ``per_batch`` is applied to the rows of each micro-batch before they are written.
     Each micro-batch has its folder, which a repeated batch overwrites. Column
     ``batch_id`` is added for modes other than append, where a key comes out again
     when it changes.
@@ -76,10 +78,12 @@ def run_to_table(
     use_rocksdb_state(spark)
     root = folder or f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     target = f"{root}/rows"
-    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
+    shape = df.schema if per_batch is None else per_batch(spark.createDataFrame([], df.schema)).schema
+    schema = T.StructType([*shape.fields, T.StructField("batch_id", T.LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        rows = batch if per_batch is None else per_batch(batch)
+        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     query = start(df, write, f"{root}/checkpoint", mode)
     if not query.awaitTermination(timeout_seconds) and timeout_seconds is not None:

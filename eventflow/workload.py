@@ -142,7 +142,7 @@ def q03_hot_sellers(load):
     from eventflow.plans.skew import hot_keys
 
     auctions = star.auctions(load)
-    hot = hot_keys(auctions, "seller_id", share=0.0005, min_rows=1)
+    hot = hot_keys(auctions, "seller_id", share=0.001, min_rows=1)
     return A.q03_local_item_suggestion(star.persons(load), auctions, star.STATES, hot=hot)
 
 
@@ -163,7 +163,7 @@ def winning_bids_hot_auctions(load):
     from eventflow.plans.skew import hot_keys
 
     bids = star.auction_bids(load)
-    hot = hot_keys(bids, "auction_id", share=0.0001, min_rows=1)
+    hot = hot_keys(bids, "auction_id", share=0.00015, min_rows=1)
     best = A.winning_bids(star.auctions(load), bids, hot=hot)
     return best.select("auction_id", "seller_id", "category", "expires", "price")
 
@@ -468,10 +468,8 @@ def stream_q03_local_item_suggestion(load):
 @stream_query
 def stream_q05_hot_items(load):
     bids = W.with_event_time(star.bids(load))
-    hot = SR.run_to_table(A.q05_hot_items(bids, "1 day", "6 hours"))
-    return hot.select("window_end", F.posexplode("items").alias("at", "item")).select(
-        "window_end", (F.col("at") + 1).alias("rank"), "item.auction_id", "item.n"
-    )
+    counts, ranking = SA.q05_hot_items(bids, "1 day", "6 hours")
+    return SR.run_to_table(counts, per_batch=ranking)
 
 
 @stream_query

@@ -239,7 +239,7 @@ sql(
     "stream_q05_hot_items",
     "bid",
     f"""
-    SELECT window_end, rank, auction_id, n FROM ({_TOP.format(counts=_COUNTS)})
+    SELECT * FROM ({_TOP.format(counts=_COUNTS)})
     WHERE window_end <= (SELECT max(ts) FROM bid)""",
 )
 _Q07 = """
