@@ -149,6 +149,7 @@ def q04_average_price_for_category(
             "latest_auction_end": ("max", F.col("expires")),
         },
         spread,
+        derived=True,
     )
     return so_far.select(
         "auction_id",
@@ -192,6 +193,7 @@ def q06_avg_selling_price(
         0,
         lambda frame: {"average_price": F.avg("price").over(frame)},
         spread,
+        derived=True,
         **options,
     )
     return result.select("auction_id", "seller_id", "expires", "average_price")

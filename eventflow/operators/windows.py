@@ -149,9 +149,7 @@ def top_n_per_window(
     Ranking with a limit lets Spark drop all but ``n`` rows per window and task
     before the shuffle, so no task receives a whole window.
     """
-    best = Window.partitionBy("window_start", "window_end").orderBy(
-        F.col(value).desc(), F.col(key)
-    )
+    best = Window.partitionBy("window_end").orderBy(F.col(value).desc(), F.col(key))
     ranked = counts.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= n)
     return ranked.select("window_start", "window_end", rank, key, value)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventflow.plans.sizes import is_small
+from eventflow.plans.skew import hot_keys
 from eventflow.session import pin
 
 _SLICE = "__slice"
@@ -48,23 +49,66 @@ def running(
     aggs: dict[str, tuple[str, Column]],
     spread: bool | None = None,
     slices: int | None = None,
+    derived: bool = False,
 ) -> DataFrame:
     """Add running aggregates per key, from the first row to the current one.
 
     ``aggs`` maps a new column to (kind, expression), kind being sum, count,
     min or max. ``order`` must be a total order inside a key. With ``spread``
-    unset, inputs small enough for one task take a plain window.
+    unset, inputs small enough for one task take a plain window, and so do all
+    keys but the hot ones of larger inputs. ``derived`` says that the input is
+    costly to compute and should be written once rather than computed again.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    if spread is None:
-        spread = not is_small(df)
-    if not spread:
+
+    def plain(rows: DataFrame) -> DataFrame:
         frame = _to_here(keys, order)
-        return df.withColumns(
+        return rows.withColumns(
             {name: _TOTAL[kind](value).over(frame) for name, (kind, value) in aggs.items()}
         )
 
+    def sliced(rows: DataFrame) -> DataFrame:
+        return _running_in_slices(rows, keys, order, aggs, slices)
+
+    return _by_group_size(df, keys, spread, derived, plain, sliced)
+
+
+def _by_group_size(
+    df: DataFrame,
+    keys: list[str],
+    spread: bool | None,
+    derived: bool,
+    plain: Callable[[DataFrame], DataFrame],
+    sliced: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Give groups that fit a task to ``plain`` and the others to ``sliced``.
+
+    Groups are told apart by a hash of their key, so that null keys and several
+    key columns need no special care; a collision only slices a small group too.
+    """
+    if spread is not None:
+        return sliced(df) if spread else plain(df)
+    if is_small(df):
+        return plain(df)
+    if not keys:
+        return sliced(df)
+    rows = pin(df) if derived else df
+    group = F.xxhash64(*keys)
+    hot = hot_keys(rows.select(group.alias("group")), "group")
+    if not hot:
+        return plain(rows)
+    large = group.isin(hot)
+    return plain(rows.where(~large)).unionByName(sliced(rows.where(large)))
+
+
+def _running_in_slices(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    aggs: dict[str, tuple[str, Column]],
+    slices: int | None,
+) -> DataFrame:
     by = [F.col(k) for k in keys] + order
     ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
     sliced = pin(ranged.withColumn(_SLICE, F.spark_partition_id()))
@@ -111,6 +155,7 @@ def trailing(
     spread: bool | None = None,
     slices: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    derived: bool = False,
 ) -> DataFrame:
     """Evaluate ``columns`` over a frame of rows ``first..last`` (both <= 0).
 
@@ -121,30 +166,31 @@ def trailing(
     if first > last or last > 0:
         raise ValueError("the frame must lie at or before the current row")
     keys = list(keys)
-    if spread is None:
-        spread = not is_small(df)
-    if not spread:
-        order = [F.col(c) if isinstance(c, str) else c for c in order]
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, last)
-        return df.withColumns(columns(frame))
-
     reach = -first
     if block_rows < max(reach, 1):
         raise ValueError("block_rows must cover the frame")
-    numbered = with_position(df, keys, order, _POSITION, True, slices)
-    place = F.col(_POSITION) - 1
-    home = F.expr(f"({_POSITION} - 1) div {block_rows}")
-    lent = F.pmod(place, F.lit(block_rows)) >= block_rows - reach
-    blocks = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
-    frame = (
-        Window.partitionBy(*keys, _BLOCK).orderBy(_POSITION).rowsBetween(first, last)
-    )
-    return (
-        numbered.withColumn(_BLOCK, F.explode(blocks))
-        .withColumns(columns(frame))
-        .where(F.col(_BLOCK) == home)
-        .drop(_BLOCK, _POSITION)
-    )
+
+    def plain(rows: DataFrame) -> DataFrame:
+        by = [F.col(c) if isinstance(c, str) else c for c in order]
+        frame = Window.partitionBy(*keys).orderBy(*by).rowsBetween(first, last)
+        return rows.withColumns(columns(frame))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        numbered = with_position(rows, keys, order, _POSITION, True, slices)
+        home = F.expr(f"({_POSITION} - 1) div {block_rows}")
+        lent = F.pmod(F.col(_POSITION) - 1, F.lit(block_rows)) >= block_rows - reach
+        blocks = F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))
+        frame = (
+            Window.partitionBy(*keys, _BLOCK).orderBy(_POSITION).rowsBetween(first, last)
+        )
+        return (
+            numbered.withColumn(_BLOCK, F.explode(blocks))
+            .withColumns(columns(frame))
+            .where(F.col(_BLOCK) == home)
+            .drop(_BLOCK, _POSITION)
+        )
+
+    return _by_group_size(df, keys, spread, derived, plain, sliced)
 
 
 def _to_here(keys: list[str], order: list[Column]) -> WindowSpec:

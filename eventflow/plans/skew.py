@@ -13,13 +13,13 @@ _SALT = "__salt"
 
 # At most 1 / HOT_SHARE keys can hold this share of a table, so the list of hot
 # keys has a fixed size bound however large the table is.
-HOT_SHARE = 0.001
+HOT_SHARE = 0.0001
 HOT_ROWS = 1_000_000
 SALTS = 64
 
 
 def hot_keys(
-    df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+    df: DataFrame, key: str, share: float | None = None, min_rows: int | None = None
 ) -> list:
     """Keys that hold at least ``share`` of the rows and at least ``min_rows``.
 
@@ -27,6 +27,8 @@ def hot_keys(
     shuffled by key, and one row of bounded size comes back. The answer steers
     how a join is spread out, never which rows it returns.
     """
+    share = HOT_SHARE if share is None else share
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     most = int(1 / share)
     row = df.agg(
         F.count(key).alias("rows"),

@@ -1,8 +1,8 @@
 """Keyed tables: the last write of a key wins.
 
-A keyed table is a folder of complete versions, ``v=00000001`` and so on. A
-version counts once its ``_SUCCESS`` mark exists, so a job that dies while
-writing leaves the previous version in force.
+A keyed table is a folder of numbered versions. ``full=00000001`` holds the
+whole table, ``part=00000002`` the keys written since. A version counts once its
+``_SUCCESS`` mark exists, so a job that dies while writing changes nothing.
 """
 
 from __future__ import annotations
@@ -45,49 +45,77 @@ def upsert_table(
     order: str,
     clear: bool = False,
     version: int | None = None,
+    rewrite: bool = True,
 ) -> str:
     """Write ``df`` into the keyed table at ``path``; returns the new version's folder.
 
-    ``clear`` starts from an empty table. ``version`` names the version to write
-    and makes a repeated write a no-op.
+    ``clear`` starts from an empty table. With ``rewrite`` off only the given keys
+    are written, and laid over the rest when the table is read. ``version`` names
+    the version to write and makes a repeated write a no-op.
     """
     spark = df.sparkSession
-    current = latest_version(spark, path)
-    number = 0 if current is None else _number(current)
-    if version is not None and version <= number:
-        return f"{path}/v={version:08d}"
-    old = None if clear or current is None else spark.read.parquet(current)
-    target = f"{path}/v={number + 1 if version is None else version:08d}"
+    written = versions(spark, path)
+    newest = max(written, default=0)
+    if version is not None and version <= newest:
+        return written.get(version, path)
+    number = newest + 1 if version is None else version
+    whole = clear or not written or rewrite
+    old = None if clear or not written or not rewrite else read_keyed(spark, path, keys)
+    target = f"{path}/{'full' if whole else 'part'}={number:08d}"
     merge_last(old, df, keys, order).write.mode("overwrite").parquet(target)
     return target
 
 
 def upsert_stream(
-    df: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    order: str,
+    checkpoint: str,
+    rewrite_every: int = 32,
 ):
-    """A stream writer that lays each micro-batch over the keyed table."""
+    """A stream writer that lays each micro-batch over the keyed table.
+
+    A micro-batch writes its own keys only; every ``rewrite_every``-th one writes
+    the table anew, so that a reader never merges more versions than that.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch, path, keys, order, version=batch_id + 1)
+        number = batch_id + 1
+        whole = number % rewrite_every == 0
+        upsert_table(batch, path, keys, order, version=number, rewrite=whole)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the newest complete version, or None."""
+def read_keyed(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The current rows of a keyed table."""
+    written = versions(spark, path)
+    if not written:
+        raise FileNotFoundError(f"no keyed table at {path}")
+    base = max((n for n, folder in written.items() if "/full=" in folder), default=0)
+    current = sorted(n for n in written if n >= base)
+    if len(current) == 1:
+        return spark.read.parquet(written[current[0]])
+    merged = None
+    for number in current:
+        rows = spark.read.parquet(written[number]).withColumn(_ORDER, F.lit(number))
+        merged = rows if merged is None else merged.unionByName(rows)
+    return last_per_key(merged, keys, _ORDER).drop(_ORDER)
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folders of the complete versions by number."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
-    complete = [
-        entry.getPath().getName()
-        for entry in files.listStatus(folder)
-        if entry.getPath().getName().startswith("v=")
-        and files.exists(hadoop.Path(entry.getPath(), "_SUCCESS"))
-    ]
-    return f"{path}/{max(complete)}" if complete else None
-
-
-def _number(version_folder: str) -> int:
-    return int(version_folder.rsplit("=", 1)[1])
+        return {}
+    found = {}
+    for entry in files.listStatus(folder):
+        name = entry.getPath().getName()
+        kind, _, number = name.partition("=")
+        complete = files.exists(hadoop.Path(entry.getPath(), "_SUCCESS"))
+        if kind in ("full", "part") and number.isdigit() and complete:
+            found[int(number)] = f"{path}/{name}"
+    return found

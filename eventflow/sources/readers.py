@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventflow.functions.codec import decode_trade
 from eventflow.plans.prefix import running
-from eventflow.sinks.tables import latest_version
+from eventflow.sinks.tables import read_keyed
 
 TOPIC = "trades"
 
@@ -58,12 +58,13 @@ def read_lines_with_offset(
     )
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """A catalog table, or the newest version of a keyed table folder."""
-    if "/" not in name:
-        return spark.read.table(name)
-    version = latest_version(spark, name)
-    return spark.read.parquet(name if version is None else version)
+def read_table(
+    spark: SparkSession, name: str, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """A catalog table by name, a parquet folder by path, or a keyed table by path and keys."""
+    if keys is not None:
+        return read_keyed(spark, name, keys)
+    return spark.read.parquet(name) if "/" in name else spark.read.table(name)
 
 
 def trade_stream_options(

@@ -117,24 +117,32 @@ def kv(spark, rows):
     return spark.createDataFrame(rows, "key long, at long, value string")
 
 
-def test_upsert_keeps_the_last_write(spark, tmp_path):
+@pytest.mark.parametrize("rewrite", [True, False])
+def test_upsert_keeps_the_last_write(spark, tmp_path, rewrite):
     path = str(tmp_path / "table")
-    assert tables.latest_version(spark, path) is None
-    tables.upsert_table(kv(spark, [(1, 1, "a"), (2, 1, "b"), (1, 2, "c")]), path, ["key"], "at")
-    tables.upsert_table(kv(spark, [(2, 0, "d"), (3, 5, "e"), (3, 4, "f")]), path, ["key"], "at")
-    rows = {r.key: r.value for r in readers.read_table(spark, path).collect()}
-    assert rows == {1: "c", 2: "d", 3: "e"}
-    tables.upsert_table(kv(spark, [(9, 1, "z")]), path, ["key"], "at", clear=True)
-    assert {r.key for r in readers.read_table(spark, path).collect()} == {9}
+
+    def write(rows, **options):
+        tables.upsert_table(kv(spark, rows), path, ["key"], "at", rewrite=rewrite, **options)
+
+    def rows():
+        return {r.key: r.value for r in readers.read_table(spark, path, ["key"]).collect()}
+
+    assert tables.versions(spark, path) == {}
+    write([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")])
+    write([(2, 0, "d"), (3, 5, "e"), (3, 4, "f")])
+    write([(4, 0, "g")])
+    assert rows() == {1: "c", 2: "d", 3: "e", 4: "g"}
+    write([(9, 1, "z")], clear=True)
+    assert rows() == {9: "z"}
 
 
 def test_unfinished_versions_do_not_count(spark, tmp_path):
     path = tmp_path / "table"
     tables.upsert_table(kv(spark, [(1, 1, "a")]), str(path), ["key"], "at")
-    (path / "v=00000002").mkdir()
-    assert tables.latest_version(spark, str(path)).endswith("v=00000001")
+    (path / "full=00000002").mkdir()
+    assert list(tables.versions(spark, str(path))) == [1]
     tables.upsert_table(kv(spark, [(2, 1, "b")]), str(path), ["key"], "at")
-    assert readers.read_table(spark, str(path)).count() == 2
+    assert readers.read_table(spark, str(path), ["key"]).count() == 2
 
 
 def test_a_repeated_version_is_written_once(spark, tmp_path):
@@ -142,12 +150,16 @@ def test_a_repeated_version_is_written_once(spark, tmp_path):
     first = tables.upsert_table(kv(spark, [(1, 1, "a")]), path, ["key"], "at", version=1)
     again = tables.upsert_table(kv(spark, [(1, 1, "other")]), path, ["key"], "at", version=1)
     assert first == again
-    assert readers.read_table(spark, path).first().value == "a"
+    assert readers.read_table(spark, path, ["key"]).first().value == "a"
+    with pytest.raises(FileNotFoundError):
+        readers.read_table(spark, str(tmp_path / "none"), ["key"])
 
 
 def test_catalog_tables_are_read_by_name(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert readers.read_table(spark, "three").count() == 3
+    with pytest.raises(Exception, match="(?i)not found|not_found"):
+        readers.read_table(spark, "no_such_table").count()
 
 
 # Trade messages

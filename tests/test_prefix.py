@@ -120,3 +120,39 @@ def test_input_size_comes_from_files(spark, sf_dir):
     assert 0 < size < 10_000_000
     assert input_bytes(events.crossJoin(events.limit(1))) < 3 * size
     assert is_small(events) and not is_small(events, 10)
+
+
+@pytest.fixture
+def no_small_inputs(monkeypatch):
+    monkeypatch.setattr("eventflow.plans.prefix.is_small", lambda df: False)
+    monkeypatch.setattr("eventflow.plans.skew.HOT_ROWS", 100)
+    monkeypatch.setattr("eventflow.plans.skew.HOT_SHARE", 0.2)
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "c"], []])
+@pytest.mark.parametrize("derived", [True, False])
+def test_only_hot_groups_are_sliced(spark, no_small_inputs, monkeypatch, keys, derived):
+    """Keys 0 and null hold a third each and are sliced; the others are not."""
+    from eventflow.plans import prefix
+
+    given = []
+    slicing = prefix._running_in_slices
+    monkeypatch.setattr(
+        prefix, "_running_in_slices", lambda df, *a: given.append(df) or slicing(df, *a)
+    )
+    df = spark.createDataFrame(skewed_rows(), "k int, o int, i int, v int")
+    df = df.withColumn("c", F.lit("x"))
+    args = (keys, ["o", "i"], {"total": ("sum", F.col("v")), "n": ("count", F.lit(1))})
+    plain = running(df, *args, spread=False)
+    mixed = running(df, *args, derived=derived)
+    assert plain.exceptAll(mixed).count() == 0 and mixed.exceptAll(plain).count() == 0
+    sliced_keys = {r.k for r in given[0].select("k").distinct().collect()}
+    assert sliced_keys == {0, None} if keys else len(sliced_keys) > 2
+
+
+def test_trailing_slices_only_hot_groups(spark, no_small_inputs):
+    df = spark.createDataFrame(skewed_rows(), "k int, o int, i int, v int")
+    args = (["k"], ["o", "i"], -4, 0, lambda w: {"a": F.sum("v").over(w)})
+    plain = trailing(df, *args, spread=False)
+    mixed = trailing(df, *args, block_rows=16)
+    assert plain.exceptAll(mixed).count() == 0 and mixed.exceptAll(plain).count() == 0

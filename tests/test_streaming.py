@@ -280,13 +280,17 @@ def test_one_stream_two_sinks(spark, bid_feed, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rows").count() == 301
 
 
-def test_stream_into_a_keyed_table(spark, bid_feed, tmp_path):
+@pytest.mark.parametrize("rewrite_every", [3, 100])
+def test_stream_into_a_keyed_table(spark, bid_feed, tmp_path, rewrite_every):
     path = str(tmp_path / "table")
     writer = tables.upsert_stream(
-        bid_feed.stream(), path, ["auction_id"], "id", str(tmp_path / "c")
+        bid_feed.stream(), path, ["auction_id"], "id", str(tmp_path / "c"), rewrite_every
     )
     drain(writer)
-    rows = {r.auction_id: r.id for r in readers.read_table(spark, path).collect()}
+    kinds = [f.rsplit("/", 1)[1][:4] for _, f in sorted(tables.versions(spark, path).items())]
+    assert kinds == ["full", "part", "full" if rewrite_every == 3 else "part", "part"]
+    table = readers.read_table(spark, path, ["auction_id"])
+    rows = {r.auction_id: r.id for r in table.collect()}
     expected = {}
     for i in [*range(300), 9999]:
         expected[0 if i == 9999 else (i * i) % 7] = i
@@ -310,3 +314,29 @@ def test_query_reports_its_watermark(spark, bid_feed, tmp_path):
     query = SR.start(counts, lambda b, i: b.collect(), str(tmp_path / "c"))
     query.awaitTermination()
     assert SR.watermark_of(query).startswith("2024-01-02")
+
+
+def test_trade_monitor_from_messages_to_report(spark, tmp_path):
+    """Messages are decoded, counted per window, and the latency of the counts is reported."""
+    from eventflow.functions import codec
+    from eventflow.operators import latency as L
+    from eventflow.streaming import measuring as M
+
+    trades = G.gen_trades(G.sequence(spark, 4000, per_second=40, start_micros=10**15), 60)
+    folder = tmp_path / "topic"
+    codec.encode_trade(trades).repartition(1).write.parquet(str(folder))
+    messages = spark.readStream.schema("key long, value binary").parquet(str(folder))
+    stream = W.with_event_time(codec.decode_trade(messages), "time")
+    counts = M.trade_monitor(stream, "20 seconds", "5 seconds")
+    arrivals = M.measure(counts, "window_end")
+    table = M.trade_monitor(trades, "20 seconds", "5 seconds")
+    assert table.where("ticker not like '%AA'").count() == 0
+    last = trades.agg(F.max("time")).first()[0]
+    closed_times = table.where(F.col("window_end") <= F.lit(last)).select("window_end").distinct()
+    assert arrivals.select("ts").exceptAll(closed_times).count() == 0
+    assert arrivals.count() == closed_times.count() > 10
+    M.write_report(arrivals, str(tmp_path / "report"), 0, 10**9)
+    log = [r.value for r in spark.read.text(str(tmp_path / "report/log")).collect()]
+    assert len(log) >= 1 and all(int(line.split(",")[1]) >= 0 for line in log)
+    back = L.parse_profile(spark.read.text(str(tmp_path / "report/histogram")))
+    assert back.count() >= 1
