@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from eventflow.plans.sizes import input_bytes
 from eventflow.session import checkpoint_root, use_rocksdb_state
+from eventflow.sinks.tables import last_per_key
 
 
 def table_stream(
@@ -98,11 +101,33 @@ def run_to_table(
 
 def current_rows(written: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key from the rows of an update-mode run."""
-    from eventflow.sinks.tables import last_per_key
-
     return last_per_key(written, keys, "batch_id").drop("batch_id")
 
 
+def partitions_for(
+    table: Callable[[str], DataFrame], names: Iterable[str], bytes_each: int = 64 * 1024 * 1024
+) -> int:
+    """State partitions for the size of the given tables: one for each 64 MiB, 8 at least."""
+    sizes = [input_bytes(table(name)) or 0 for name in names]
+    return max(8, -(-sum(sizes) // bytes_each))
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Start streams with ``n`` state partitions; a query keeps the number it began with.
+
+    AQE does not merge the partitions of a stateful operator, so a number far
+    above what the data needs costs an idle state store each.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def watermark_of(query: StreamingQuery) -> str | None:
     """The event-time watermark a running query last reported."""
     progress = query.lastProgress

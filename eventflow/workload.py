@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 FIXED_SIZE = {"nation", "region"}
+STREAMED = ("events", "orders", "lineitem", "customer", "documents")
 
 
 def query(build: Callable[[star.Load], DataFrame]) -> Callable[[star.Load], DataFrame]:
@@ -51,7 +52,8 @@ def stream_query(build: Callable[[star.Load], DataFrame]) -> Callable[[star.Load
                 return table(name)
             return SR.table_stream(spark, f"{folder}/{name}.parquet")
 
-        return zone_less(build(load))
+        with SR.state_partitions(spark, SR.partitions_for(table, STREAMED)):
+            return zone_less(build(load))
 
     QUERIES[build.__name__] = run
     return build
