@@ -27,14 +27,13 @@ def latency_log(
     above all earlier ones. That is the same as: no larger timestamp arrived
     earlier, which needs only the first arrival of each distinct timestamp.
     """
-    if spread is None:
-        spread = not is_small(df)
+    large = not is_small(df) if spread is None else spread
     first = (
         df.select(epoch_micros(df, ts).alias("__t"), epoch_micros(df, arrival).alias("__a"))
         .groupBy("__t")
         .agg(F.min("__a").alias("__a"))
     )
-    if spread:
+    if large:
         first = pin(first)
     start = first.agg(F.min_by("__t", F.struct("__a", "__t")).alias("start")).scalar()
     flagged = running(
@@ -114,10 +113,9 @@ def latency_profile(
     reaches it. The last row is the maximum at percentile 1, whose inverse
     1 / (1 - p) is null. Latencies are not rounded.
     """
-    if spread is None:
-        spread = not is_small(log)
+    large = not is_small(log) if spread is None else spread
     counts = measured_histogram(log, warmup, total)
-    if spread:
+    if large:
         counts = pin(counts)
     ranked = running(
         counts, [], ["latency_ms"], {"total_count": ("sum", F.col("n"))}, spread

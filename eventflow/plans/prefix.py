@@ -91,9 +91,13 @@ def _by_group_size(
         return sliced(df) if spread else plain(df)
     if is_small(df):
         return plain(df)
-    if not keys:
+    if not keys and not derived:
         return sliced(df)
     rows = pin(df) if derived else df
+    if derived and is_small(rows):
+        return plain(rows)
+    if not keys:
+        return sliced(rows)
     group = F.xxhash64(*keys)
     hot = hot_keys(rows.select(group.alias("group")), "group")
     if not hot:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,6 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -73,11 +73,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_PINNED = "eventflow-pinned"
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there.
+    """Write the rows to a table in the checkpoint folder and go on from there.
 
-    Used where two branches must see the very same rows in the same partitions;
-    a lost executor then re-reads files instead of re-partitioning.
+    Used where several branches must see the very same rows, or would otherwise
+    compute them again. Each branch reads only the columns it needs, and a lost
+    executor re-reads files instead of partitioning anew.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{_PINNED}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_pinned(spark: SparkSession) -> None:
+    """Delete what this application has pinned, once its results are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_root(spark)}/{_PINNED}"
+    )
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)

@@ -156,3 +156,14 @@ def test_trailing_slices_only_hot_groups(spark, no_small_inputs):
     plain = trailing(df, *args, spread=False)
     mixed = trailing(df, *args, block_rows=16)
     assert plain.exceptAll(mixed).count() == 0 and mixed.exceptAll(plain).count() == 0
+
+
+def test_pinned_rows_are_fixed_and_can_be_dropped(spark):
+    from eventflow.session import checkpoint_root, drop_pinned, pin
+
+    rows = pin(spark.range(100).withColumn("r", F.rand()))
+    assert rows.exceptAll(rows.select("id", "r")).count() == 0
+    assert checkpoint_root(spark).removeprefix("file:") in rows.inputFiles()[0]
+    drop_pinned(spark)
+    with pytest.raises(Exception, match="(?i)not exist"):
+        rows.count()
