@@ -103,6 +103,11 @@ def tumbling_count(df: DataFrame, ts: str, keys: Sequence[str] | str, size: Dura
     return sliding_count(df, ts, keys, size)
 
 
+def with_arrival(df: DataFrame, name: str = "arrival") -> DataFrame:
+    """The time a row comes in: on a stream, that of its micro-batch."""
+    return df.withColumn(name, F.current_timestamp())
+
+
 def arrival_window_count(
     df: DataFrame, arrival: str, keys: Sequence[str] | str, size: Duration, slide: Duration
 ) -> DataFrame:

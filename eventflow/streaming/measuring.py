@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventflow.functions.timing import Duration
 from eventflow.operators.latency import latency_log, latency_profile, profile_lines
 from eventflow.operators.shaping import before, comma_lines, ticker_suffix
-from eventflow.operators.windows import sliding_count
+from eventflow.operators.windows import sliding_count, with_arrival
 from eventflow.sinks.files import write_lines
 from eventflow.streaming.running import run_to_table
 
@@ -38,8 +38,7 @@ def first_arrivals(ts: str) -> Callable[[DataFrame], DataFrame]:
     """What to keep of a micro-batch: its result times, and now."""
 
     def reduce(batch: DataFrame) -> DataFrame:
-        times = batch.select(F.col(ts).alias("ts")).distinct()
-        return times.withColumn("arrival", F.current_timestamp())
+        return with_arrival(batch.select(F.col(ts).alias("ts")).distinct())
 
     return reduce
 

@@ -240,6 +240,15 @@ def test_running_word_count_of_a_stream(spark, tmp_path):
     assert {(r.word, r.n) for r in rows} == {("a", 2), ("b", 1)}
 
 
+def test_windows_by_arrival_hold_every_row(spark, bid_feed, tmp_path):
+    bids = bid_feed.stream().drop("ts")
+    arriving = W.with_event_time(W.with_arrival(bids), "arrival")
+    counts = W.arrival_window_count(arriving, "arrival", "auction_id", "1 hour", "30 minutes")
+    rows = SR.run_to_table(counts, "update")
+    latest = SR.current_rows(rows, ["window_start", "window_end", "auction_id"])
+    assert latest.agg(F.sum("n")).first()[0] == 2 * 301
+
+
 def drain(writer):
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
