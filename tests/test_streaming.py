@@ -241,7 +241,7 @@ def test_running_word_count_of_a_stream(spark, tmp_path):
 
 
 def test_windows_by_arrival_hold_every_row(spark, bid_feed, tmp_path):
-    bids = bid_feed.stream().drop("ts")
+    bids = spark.readStream.schema(schemas.BID).parquet(str(bid_feed.folder))
     arriving = W.with_event_time(W.with_arrival(bids), "arrival")
     counts = W.arrival_window_count(arriving, "arrival", "auction_id", "1 hour", "30 minutes")
     rows = SR.run_to_table(counts, "update")
