@@ -14,20 +14,23 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-LOT = T.StructType(
+OFFERS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("bid_id", T.LongType()),
+            T.StructField("bid_ts", T.LongType()),
+            T.StructField("price", T.LongType()),
+        ]
+    )
+)
+
+# All an auction needs is one value, so that a batch reads and writes it once.
+AUCTION_STATE = T.StructType(
     [
-        T.StructField("auction_ts", T.LongType()),
         T.StructField("seller_id", T.LongType()),
         T.StructField("category", T.IntegerType()),
         T.StructField("expires", T.LongType()),
-    ]
-)
-
-OFFER = T.StructType(
-    [
-        T.StructField("bid_id", T.LongType()),
-        T.StructField("bid_ts", T.LongType()),
-        T.StructField("price", T.LongType()),
+        T.StructField("offers", OFFERS),
     ]
 )
 
@@ -95,8 +98,7 @@ class WinningBid(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lot = handle.getValueState("lot", LOT)
-        self.offers = handle.getListState("offers", OFFER)
+        self.auction = handle.getValueState("auction", AUCTION_STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         starts, new = [], []
@@ -105,47 +107,45 @@ class WinningBid(StatefulProcessor):
                 starts.append((row["at"], row["ends"], row["seller_id"], row["category"]))
             else:
                 new.append((row["bid_id"], row["at"], row["price"]))
-        known = self.lot.get()
-        lot = tuple(known) if known is not None else None
-        opened = lot is None and bool(starts)
+        seller, category, expires, kept = self._known()
+        opened = expires is None and bool(starts)
         if opened:
-            began, ends, seller, category = min(starts)
-            lot = (began, seller, category, ends)
-            self.lot.update(lot)
-        kept = [tuple(o) for o in self.offers.get()]
-        if opened or (lot is None and new):
+            _, expires, seller, category = min(starts)
+        if opened or (expires is None and new):
             if kept:  # waiting for the auction, so there is a clean-up timer
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
             self.handle.registerTimer(
-                _ceil_millis(lot[3])
-                if lot is not None
+                _ceil_millis(expires)
+                if opened
                 else _ceil_millis(max(o[1] for o in kept + new)) + self.keep_millis
             )
-        if lot is None:
+        if expires is None:
             leading = leading_offers(kept + new)
         else:
-            leading = leading_offers(o for o in kept + new if o[1] <= lot[3])[-1:]
-        if leading != kept:
-            if leading:
-                self.offers.put(leading)
-            else:
-                self.offers.clear()
+            leading = leading_offers(o for o in kept + new if o[1] <= expires)[-1:]
+        if opened or leading != kept:
+            self.auction.update((seller, category, expires, leading))
         return iter(())
 
+    def _known(self) -> tuple[int | None, int | None, int | None, list[Offer]]:
+        state = self.auction.get()
+        if state is None:
+            return None, None, None, []
+        seller, category, expires, offers = state
+        return seller, category, expires, [tuple(o) for o in offers]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        lot = self.lot.get()
-        offers = [tuple(o) for o in self.offers.get()]
-        self.lot.clear()
-        self.offers.clear()
-        if lot is None or not offers:
+        seller, category, expires, offers = self._known()
+        self.auction.clear()
+        if expires is None or not offers:
             return
         bid_id, bid_ts, price = offers[0]
         yield Row(
             auction_id=key[0],
-            seller_id=lot[1],
-            category=lot[2],
-            expires=at(lot[3]),
+            seller_id=seller,
+            category=category,
+            expires=at(expires),
             bid_id=bid_id,
             bid_ts=at(bid_ts),
             price=price,
