@@ -152,3 +152,18 @@ def words_of(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
+
+
+def keep_rows(docs: DataFrame, keepers: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, digest) is in ``keepers``, one of each; all columns stay."""
+
+    def named(value: Column) -> Column:
+        return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), value)
+
+    wanted = keepers.select(named(F.col("digest")).alias("_wanted")).distinct()
+    met = docs.withColumn("_named", named(digest)).join(
+        wanted, F.col("_named") == F.col("_wanted"), "left_semi"
+    )
+    # Partitioned as the join is: numbering moves nothing again.
+    number = F.row_number().over(Window.partitionBy("_named").orderBy("_named"))
+    return met.withColumn("_number", number).where("_number = 1").select(*docs.columns)

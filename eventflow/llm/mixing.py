@@ -14,10 +14,10 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import count_words, preceding_sum, repeated
+from eventflow.llm.common import count_words, preceding_sum, repeated, words_of
 from eventflow.session import pin
 
 MOST_SOURCES = 100_000
@@ -157,12 +157,60 @@ class Mix:
         high = F.least(F.col("upto") + F.col("size"), (F.col("block") + 1) * b)
         return cut.select("source", "block", *order, (low - F.col("upto")).alias("first"), (high - low).alias("words"))
 
-    def taken(self) -> DataFrame:
-        """``doc_id, size, source_size, target, taken`` of every document."""
+    def _times(self) -> DataFrame:
+        """The pieces that the mix takes, with how often."""
         times = self.slots().groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-        pieces = self.pieces()
         times = times.select(F.col("source").alias("of"), F.col("block").alias("of_block"), "times")
-        met = pieces.join(times, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
+        same = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))
+        return self.pieces().join(times, same).drop("of", "of_block")
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """The mix as rows of ``docs``, the table it was made from.
+
+        Row c of a document holds, in order, the words taken c times or more: its own
+        text if that is all of it, else those words with spaces between them.
+        """
+        key = F.concat_ws(
+            ":",
+            F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"),
+            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
+        )
+        number = F.row_number().over(Window.partitionBy("_same").orderBy("_same")) - 1
+        rows = docs.withColumn("_same", key).withColumn("_row", F.concat_ws(":", number, "_same"))
+        lists = (
+            self._times()
+            .select(
+                F.concat_ws(
+                    ":",
+                    F.col("copy").cast("string"),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                    F.col("crc").cast("string"),
+                    F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
+                ).alias("_of"),
+                F.struct("first", "words", "times").alias("part"),
+            )
+            .groupBy("_of")
+            .agg(F.sort_array(F.collect_list("part")).alias("_parts"))  # a document's own blocks
+        )
+        met = rows.join(lists, F.col("_row") == F.col("_of")).withColumn("_words", words_of(F.col("text")))
+        most = F.array_max(F.transform("_parts", lambda p: p["times"]))
+        each = met.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+        used = F.filter("_parts", lambda p: p["times"] >= F.col("_c"))
+        words = F.flatten(
+            F.transform(used, lambda p: F.slice(F.col("_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))
+        )
+        chosen = each.withColumn("_chosen", words)
+        whole = F.size("_chosen") == F.size("_words")
+        text = F.when(whole, F.col("text")).otherwise(F.array_join("_chosen", " "))
+        out = chosen.withColumn("text", text)
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return out.select(*docs.columns)
+
+    def taken(self) -> DataFrame:
+        """``doc_id, size, source_size, target, taken`` of every document."""
+        met = self._times()
         key = ["source", "doc_id", "crc", "copy"]
         sums = met.groupBy(*key).agg(F.sum(F.col("words") * F.col("times")).alias("n"))
         sums = sums.select(*[F.col(k).alias(f"_{k}") for k in key], "n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import pin_python, preceding_sum
+from eventflow.llm.common import pin_python, preceding_sum, ship
 from eventflow.llm.tokens import encoder
 
 
@@ -149,6 +149,7 @@ def cut_pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    ship(docs.sparkSession)
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string"))
     return given.mapInArrow(cut, kinds + (", ids binary" if keep_ids else ""))

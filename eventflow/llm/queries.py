@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import digest_index, mixing, packing, sharding, token_files
-from eventflow.llm.common import new_folder
+from eventflow.llm import (
+    digest_index,
+    mixing,
+    order_minhash,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
+from eventflow.llm.common import new_folder, pin_python
 from eventflow.llm.tokens import BYTE_BPE, WORD_BPE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +31,8 @@ END_OF_PACKED_DOC = 0
 CAPACITY = 2048
 WEIGHTS = (5, 2, 1)
 MOST_TAKES = 3
+MIN_TAIL = 0.3  # of the best grade: what is below is rejected
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +59,30 @@ def op2_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.train(quality_model.rated(docs, table(spark, folder, "labels")))
+    graded_ = quality_model.grade(docs, model).select("doc_id", "expected_grade", "tail_probability")
+    return pin_python(graded_).withColumn("kept", F.col("tail_probability") >= MIN_TAIL)
+
+
+def op4_gram_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
+    marked = docs.join(trusted, F.col("doc_id") == F.col("rated_id"), "left")
+    ratios = quality_rules.log_ratios(marked, F.col("trusted"))
+    return quality_rules.judge(docs, ratios)
+
+
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+def op6_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    return pin_python(token_counts.count_tokens(table(spark, folder, "documents"), path))
+
+
 def op7_digest_index(spark: SparkSession, folder: str) -> DataFrame:
     index = digest_index.DigestIndex(spark, new_folder(spark, "digest-index"))
     return index.deduplicate(table(spark, folder, "documents"))
@@ -56,6 +93,11 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = order_minhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), END_OF_PACKED_DOC, CAPACITY
@@ -64,5 +106,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op2_rendezvous_shards, op7_digest_index, op8_source_mix, op10_best_fit_packing)
+    for f in (op1_token_files, op2_rendezvous_shards, op3_ordinal_quality, op4_gram_ratio_rules, op5_suffix_dedup, op6_trie_token_counts, op7_digest_index, op8_source_mix, op9_order_minhash, op10_best_fit_packing)
 }

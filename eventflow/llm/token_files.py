@@ -54,6 +54,7 @@ def write_tokens(
 ) -> None:
     """Encode every text, append ``end_id`` and write blocks and index to ``folder``."""
     spark = docs.sparkSession
+    ship(spark)
     given = docs.select(
         F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
