@@ -15,10 +15,11 @@ def connection(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) <= {n for n in QUERIES if n.startswith("op") or n == "pipeline"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(name, spark, sf_dir, connection):
     assert difference(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) is None
 
