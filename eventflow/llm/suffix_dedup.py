@@ -42,7 +42,7 @@ LENGTH = 100
 CORE = 24
 SPAN = LENGTH - CORE + 1  # places an anchor can have in a window
 MOST = 2_000
-SEGMENT = 4 << 20  # bytes looked at together; places in them fit 24 bits
+SEGMENT = 1 << 19  # bytes looked at together (twice that at most); places fit 24 bits
 SORTED_BYTES = 2 << 20
 
 _LAST = 2**63 - 1
