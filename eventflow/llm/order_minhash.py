@@ -3,9 +3,10 @@
 A text's k-mers are its runs of five words, told apart by how often they came
 before. For each of ``TABLES`` permutations the two least k-mers, in text order,
 give one number: texts that differ by few edits share most of these. A bucket is
-what agrees in a number. Its members are compared with its least member; those
-unlike it go on in buckets that agree in one more number, then with other members,
-until none is left to compare, so no bucket is expanded into all its pairs.
+what agrees in a number. Its members are compared with its most popular member,
+and those unlike it once more in narrower buckets (see ``links``), so no bucket is
+expanded into all its pairs and no text is left out. As with any such sketch a link
+can be missed; the README has the recall against brute force.
 
 Two texts are linked if an alignment of their k-mers, in order, matches m with
 m / (a + b - m) >= ``SIMILARITY``. Texts of fewer than five words are one k-mer;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from eventflow.session import pin
 WORDS = 5
 TABLES = 12
 SIMILARITY = 0.8
-REFINED = 3  # numbers that must agree before a bucket is gone through member by member
+REFINED = 3  # numbers that agree in the narrowest buckets
 BLOCK_BITS = 8192
 
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -175,9 +177,9 @@ _NAMES = [f"s{i}" for i in range(TABLES)]
 
 
 def _keyed(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key`` of each (node, mask): a hash of the sketch's numbers that the mask names."""
+    """`key`` of each (node, mask): a hash of the sketch's numbers that the mask names."""
     parts = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(c)) for i, c in enumerate(_NAMES)]
-    return members.join(nodes, "node").select("node", "mask", F.xxhash64("mask", *parts).alias("key"))
+    return members.join(nodes, "node").select("node", F.xxhash64("mask", *parts).alias("key"))
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,48 +197,72 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pin_python(both.mapInArrow(check, "u bigint, v bigint"))
 
 
+def _masks(nodes: DataFrame, size: int) -> DataFrame:
+    """Each node with every choice of ``size`` of its sketch's numbers, as bits."""
+    chosen = [sum(1 << i for i in c) for c in combinations(range(TABLES), size)]
+    return nodes.select("node", F.explode(F.array(*map(F.lit, chosen))).alias("mask"))
+
+
+def _compared(keyed: DataFrame, seekers: DataFrame | None, centres: int) -> DataFrame:
+    """Pairs (``seeker, head``) of a bucket's members with its most popular one and, if asked for,
+    with two more that do not depend on it."""
+    heads = [F.max_by("node", "rank")]
+    if centres > 1:
+        heads += [F.min("node"), F.max("node")]
+    groups = pin(
+        keyed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(heads)])
+        .where("n > 1")
+        .select(F.col("key").alias("of"), F.array_distinct(F.array(*[f"h{i}" for i in range(len(heads))])).alias("heads"))
+    )
+    rows = keyed if seekers is None else keyed.join(seekers, F.col("node") == F.col("seeker"), "left_semi")
+    met = rows.join(groups, F.col("key") == F.col("of"))
+    pairs = met.select(F.col("node").alias("seeker"), F.explode("heads").alias("head"))
+    return pairs.where("seeker <> head").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (``u, v``) between nodes, enough of them to connect every class."""
-    # A bucket's rows: one number of the sketch each, told apart by the mask.
+    """Links (``u, v``) between nodes: candidates by bucket, each one aligned.
+
+    A node's rank grows with how many nodes share its numbers. A text that others
+    were made from keeps more of theirs than they have of each other, so the member
+    of highest rank is the one to compare a bucket with. Nodes unlike theirs look
+    again, in buckets that agree in two numbers and in three, at three members each.
+    """
     sketches = F.array(
         *[F.struct(F.lit(1 << i).alias("mask"), F.xxhash64(F.lit(i), F.col(c)).alias("key")) for i, c in enumerate(_NAMES)]
     )
-    keyed = nodes.select("node", F.explode(sketches).alias("k")).select("node", "k.mask", "k.key")
-    found = None
-    texts = None
-    tested = None
-    while True:
-        least = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-        heads = pin(least.where("n > 1").select(F.col("key").alias("of"), "head"))
-        if heads.isEmpty():
-            return found
-        members = pin(
-            keyed.join(heads, F.col("key") == F.col("of")).where("node <> head").select("node", "mask", "key", "head")
-        )
-        pairs = members.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    single = nodes.select("node", F.explode(sketches).alias("k")).select("node", "k.key")
+    shared = pin(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "n"))
+    ours = pin(single.join(shared, F.col("key") == F.col("of")).select("node", "key", "n"))
+    tie = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    involved = pin(ours.groupBy("node").agg((F.sum("n") * (1 << 20) + tie).alias("rank")))
+    wanted = nodes.join(involved, "node").select("node", F.col("digest").alias("of"))
+    given = docs.select(text_digest(F.col("text")).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    met = given.join(wanted, F.col("d") == F.col("of"))
+    texts = pin(met.groupBy("node").agg(F.first("text").alias("text")))
+
+    found, tested, seekers = None, None, None
+    for size in range(1, REFINED + 1):
+        if size == 1:
+            keyed = ours.select("node", "key")
+        else:  # in the last step seekers meet seekers
+            who = involved if size < REFINED else seekers.select(F.col("seeker").alias("node"))
+            keyed = _keyed(_masks(who, size), nodes).select("node", "key")
+        pairs = _compared(keyed.join(involved, "node"), seekers, 1 if size == 1 else 3)
         if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            pairs = pairs.join(tested, ["seeker", "head"], "left_anti")
         pairs = pin(pairs)
-        if texts is None:  # later buckets hold members of these only
-            wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-            named = nodes.join(wanted, "node").select("node", F.col("digest").alias("of"))
-            given = docs.select(text_digest(F.col("text")).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-            met = given.join(named, F.col("d") == F.col("of"))
-            texts = pin(met.groupBy("node").agg(F.first("text").alias("text")))
-        good = _aligned(pairs, texts)
+        good = _aligned(pairs.select(F.col("seeker").alias("u"), F.col("head").alias("v")), texts)
         found = good if found is None else pin(found.unionByName(good))
         tested = pairs if tested is None else pin(tested.unionByName(pairs))
-        linked = found.select(F.col("u").alias("node"), F.col("v").alias("head"))
-        left = members.join(linked, ["node", "head"], "left_anti").select("node", "mask", "key")
-        coarse = F.bit_count("mask") < REFINED
-        finer = (
-            left.where(coarse)
-            .select("node", F.explode(F.array(*[F.col("mask").bitwiseOR(1 << i) for i in range(TABLES)])).alias("more"), "mask")
-            .where("more <> mask")
-            .select("node", F.col("more").alias("mask"))
-            .distinct()
+        unlike = pairs.join(
+            good, (F.col("seeker") == F.col("u")) & (F.col("head") == F.col("v")), "left_anti"
         )
-        keyed = pin(_keyed(finer, nodes).unionByName(left.where(~coarse).select("node", "mask", "key")))
+        seekers = pin(unlike.select("seeker").distinct())
+        if seekers.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,12 +276,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows, nodes = _nodes(given)
     edges = links(given, nodes)
     named = nodes.select("node", "digest", "least_id")
-    if edges is not None:
-        roots = components(edges)
-        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        named = named.withColumn("root", F.col("node"))
-    named = pin(named)
+    roots = components(edges)
+    named = pin(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     sizes = named.join(copies, "digest").select("root", "copies", "least_id", "digest")
     order = F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("digest"))
