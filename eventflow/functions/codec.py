@@ -49,7 +49,12 @@ def decode_trade(df: DataFrame, value: str = "value") -> DataFrame:
 
 def _bytes(number: Column, width: int) -> Column:
     """Two's complement, big-endian. hex of a negative bigint shows all 16 digits."""
-    digits = F.hex(number.cast("bigint"))
+    whole, most = number.cast("bigint"), 1 << (8 * width - 1)
+    if width < 8:
+        whole = F.when(whole.isNull() | whole.between(-most, most - 1), whole).otherwise(
+            F.raise_error(F.lit(f"a number does not fit {width} bytes"))
+        )
+    digits = F.hex(whole)
     return F.unhex(F.substring(F.lpad(digits, 16, "0"), 17 - 2 * width, 2 * width))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +25,29 @@ _UNIT_MICROS = {
 Duration = str | timedelta
 
 
+# Number and unit, as often as wanted, and nothing else.
+_PART = re.compile(r"(\d+(?:\.\d+)?)\s*([a-zA-Z]+)")
+_DURATION = re.compile(rf"\s*{_PART.pattern}(?:\s+{_PART.pattern})*\s*")
+
+
+def _unit_micros(name: str) -> int | None:
+    return _UNIT_MICROS.get(name) or _UNIT_MICROS.get(name.removesuffix("s"))
+
+
 def micros_of(duration: Duration) -> int:
     """Length of ``'10 seconds'``, ``'1 day 12 hours'`` or a timedelta in microseconds."""
     if isinstance(duration, timedelta):
         total = duration // timedelta(microseconds=1)
     else:
-        parts = re.findall(r"(\d+)\s*([a-zA-Z]+)", duration)
-        if not parts:
+        if not _DURATION.fullmatch(duration):
             raise ValueError(f"not a duration: {duration!r}")
-        total = sum(int(n) * _UNIT_MICROS[unit.lower().rstrip("s")] for n, unit in parts)
+        total = 0
+        for number, name in _PART.findall(duration):
+            unit = _unit_micros(name.lower())
+            exact = Decimal(number) * unit if unit else None
+            if exact is None or exact != int(exact):
+                raise ValueError(f"not a duration in whole microseconds: {duration!r}")
+            total += int(exact)
     return total
 
 

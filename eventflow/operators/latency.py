@@ -151,7 +151,7 @@ def profile_levels(ticks: int = TICKS_PER_HALVING) -> list[float]:
     """Percentile levels in per cent: each half of the rest is cut into ``ticks`` steps."""
     return [
         100.0 * (1.0 - 0.5**h) + j * (50.0 / ticks) * 0.5**h
-        for h in range(_HALVINGS if ticks < 8 else _HALVINGS // 2)
+        for h in range(_HALVINGS)
         for j in range(ticks)
         if 100.0 * (1.0 - 0.5**h) + j * (50.0 / ticks) * 0.5**h < 100.0
     ]

@@ -7,6 +7,7 @@ whole table, ``part=00000002`` the keys written since. A version counts once its
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,10 @@ _ORDER = "__order"
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
-    """One row per key, the one with the highest ``order``."""
+    """One row per key, the one with the highest ``order``; null orders are the lowest."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row"))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("__row"))
     return best.select(*[c if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
@@ -44,24 +45,28 @@ def upsert_table(
     keys: Sequence[str],
     order: str,
     clear: bool = False,
-    version: int | None = None,
+    write_id: str | None = None,
     rewrite: bool = True,
 ) -> str:
     """Write ``df`` into the keyed table at ``path``; returns the new version's folder.
 
     ``clear`` starts from an empty table. With ``rewrite`` off only the given keys
-    are written, and laid over the rest when the table is read. ``version`` names
-    the version to write and makes a repeated write a no-op.
+    are written, and laid over the rest when the table is read. A write that
+    names itself by ``write_id`` (letters, digits and hyphens) counts once: when
+    a version bears that name, nothing is written again. One writer at a time.
     """
     spark = df.sparkSession
     written = versions(spark, path)
     newest = max(written, default=0)
-    if version is not None and version <= newest:
-        return written.get(version, path)
-    number = newest + 1 if version is None else version
+    if write_id is not None:
+        for folder in written.values():
+            if folder.endswith(f".{write_id}"):
+                return folder
     whole = clear or not written or rewrite
     old = None if clear or not written or not rewrite else read_keyed(spark, path, keys)
-    target = f"{path}/{'full' if whole else 'part'}={number:08d}"
+    target = f"{path}/{'full' if whole else 'part'}={newest + 1:08d}"
+    if write_id is not None:
+        target += f".{write_id}"
     merge_last(old, df, keys, order).write.mode("overwrite").parquet(target)
     return target
 
@@ -77,13 +82,15 @@ def upsert_stream(
     """A stream writer that lays each micro-batch over the keyed table.
 
     A micro-batch writes its own keys only; every ``rewrite_every``-th one writes
-    the table anew, so that a reader never merges more versions than that.
+    the table anew, so that a reader never merges many more versions than that.
+    A micro-batch is known by its checkpoint folder and its number: a repeated one
+    counts once, and writes of other streams or of batch jobs may come in between.
     """
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        number = batch_id + 1
-        whole = number % rewrite_every == 0
-        upsert_table(batch, path, keys, order, version=number, rewrite=whole)
+        whole = (batch_id + 1) % rewrite_every == 0
+        upsert_table(batch, path, keys, order, write_id=f"{stream}-{batch_id}", rewrite=whole)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -115,6 +122,7 @@ def versions(spark: SparkSession, path: str) -> dict[int, str]:
     for entry in files.listStatus(folder):
         name = entry.getPath().getName()
         kind, _, number = name.partition("=")
+        number = number.partition(".")[0]
         complete = files.exists(hadoop.Path(entry.getPath(), "_SUCCESS"))
         if kind in ("full", "part") and number.isdigit() and complete:
             found[int(number)] = f"{path}/{name}"

@@ -63,19 +63,30 @@ def start(
     return writer.start()
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that stateful operators dropped as late, over the progress the query still has."""
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
+    )
+
+
 def run_to_table(
     df: DataFrame,
     mode: str = "append",
     folder: str | None = None,
     per_batch: Callable[[DataFrame], DataFrame] | None = None,
     timeout_seconds: int | None = None,
+    allow_late: bool = False,
 ) -> DataFrame:
     """Work off all available input into parquet and return what was written.
 
     ``per_batch`` is applied to the rows of each micro-batch before they are written.
     Each micro-batch has its folder, which a repeated batch overwrites. Column
     ``batch_id`` is added for modes other than append, where a key comes out again
-    when it changes.
+    when it changes. Rows that came too late for the watermark are an error, unless
+    ``allow_late`` says that they may be left out.
     """
     spark = df.sparkSession
     use_rocksdb_state(spark)
@@ -92,6 +103,9 @@ def run_to_table(
     if not query.awaitTermination(timeout_seconds) and timeout_seconds is not None:
         query.stop()
         raise TimeoutError(f"stream not finished after {timeout_seconds} s")
+    late = dropped_rows(query)
+    if late and not allow_late:
+        raise RuntimeError(f"{late} rows came behind the watermark; a longer lag is needed")
     try:
         written = spark.read.schema(schema).parquet(target)
     except AnalysisException:  # no input, so no micro-batch and no folder

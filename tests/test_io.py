@@ -147,8 +147,8 @@ def test_unfinished_versions_do_not_count(spark, tmp_path):
 
 def test_a_repeated_version_is_written_once(spark, tmp_path):
     path = str(tmp_path / "table")
-    first = tables.upsert_table(kv(spark, [(1, 1, "a")]), path, ["key"], "at", version=1)
-    again = tables.upsert_table(kv(spark, [(1, 1, "other")]), path, ["key"], "at", version=1)
+    first = tables.upsert_table(kv(spark, [(1, 1, "a")]), path, ["key"], "at", write_id="a-1")
+    again = tables.upsert_table(kv(spark, [(1, 1, "other")]), path, ["key"], "at", write_id="a-1")
     assert first == again
     assert readers.read_table(spark, path, ["key"]).first().value == "a"
     with pytest.raises(FileNotFoundError):
@@ -303,3 +303,9 @@ def test_generators_do_not_shuffle(spark):
         G.gen_words(G.text_line_numbers(spark, 100), 100, 7),
     ):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_orders_keep_their_row(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, 5, "c")], "key int, at int, v string")
+    got = {(r.key, r.at, r.v) for r in tables.last_per_key(rows, ["key"], "at").collect()}
+    assert got == {(1, None, "a"), (2, 5, "c")}

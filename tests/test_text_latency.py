@@ -192,3 +192,28 @@ def test_time_functions(spark):
     ).first()
     assert (row.grid, row.cycle, row.clock) == (1207, 5, "00:00:01.500")
     assert row.fields == ["a", "", "b"]
+
+
+def test_durations_are_read_whole():
+    from datetime import timedelta
+
+    from eventflow.functions.timing import micros_of
+
+    assert micros_of("1.5 seconds") == 1_500_000
+    assert micros_of("1 day 12 hours") == 36 * 3_600_000_000
+    assert micros_of(timedelta(milliseconds=3)) == 3_000
+    for text in ("-1 day", "10 ms", "1 second, 2", "0.1 microseconds", ""):
+        with pytest.raises(ValueError):
+            micros_of(text)
+
+
+def test_levels_reach_as_far_for_any_ticks():
+    assert max(L.profile_levels(8)) >= 100.0 * (1 - 2.0**-45)
+
+
+def test_prices_beyond_32_bits_are_refused(spark):
+    from eventflow.functions import codec
+
+    trades = spark.sql("SELECT timestamp_millis(1) AS time, 'AAA' AS ticker, 1 AS quantity, 5000000000 AS price")
+    with pytest.raises(Exception, match="does not fit"):
+        codec.encode_trade(trades).collect()
