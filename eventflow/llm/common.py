@@ -19,8 +19,8 @@ from eventflow.session import checkpoint_root, pin
 #: Fixed value: the white space of the word patterns, tab to carriage return and the space.
 SPACES = " \t\n\x0b\x0c\r"
 
-BATCH_BYTES = 8 * 1024 * 1024
-BATCH_ROWS = 8_000
+BATCH_BYTES = 4 * 1024 * 1024
+BATCH_ROWS = 4_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

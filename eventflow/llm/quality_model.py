@@ -28,6 +28,7 @@ from eventflow.llm.common import pin_python, ship
 BITS = 18
 MOST_RATED = 6_000
 GRADES = 3
+MOST_WORDS = 200_000  # remembered by a worker
 
 _REPEAT = zlib.crc32(b"repeat") & ((1 << BITS) - 1)
 
@@ -194,15 +195,17 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = weights.value
-        known: dict[str, np.ndarray] = {"": np.empty(0, np.int64)}
+        nothing = np.empty(0, np.int64)  # one object for the many words that tell nothing
+        known: dict[str, np.ndarray] = {"": nothing}
         for batch in batches:
-            if len(known) > 500_000:
-                known = {"": np.empty(0, np.int64)}
+            if len(known) > MOST_WORDS:
+                known = {"": nothing}
             coded = _coded(batch.column(n))
             for w in coded.words:
                 if w not in known:
                     found = np.array(word_features(w), np.int64)
-                    known[w] = found[m.weights[found] != 0] if len(found) else found
+                    found = found[m.weights[found] != 0]
+                    known[w] = found if len(found) else nothing
             lists = [known[w] for w in coded.words]
             use = np.array([len(x) > 0 for x in lists], bool)
             of, slot = _pairs(coded, lists, use)

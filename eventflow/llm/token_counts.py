@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from eventflow.llm.common import ship
 
 MARK = "▁"
-MOST_NODES = 400_000
+MOST_NODES = 300_000
 
 
 def load_scores(path: str) -> dict[str, float]:

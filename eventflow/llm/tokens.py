@@ -37,7 +37,7 @@ _CUT_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\n)"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _END = "\x01"
 
-MOST_RUNS = 500_000
+MOST_RUNS = 300_000
 
 
 def _gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
