@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import arrow_batches, new_folder, partitions, pin_python, ship
-from eventflow.llm.suffix_sort import Hashed, powers, sorted_suffixes
+from eventflow.llm.suffix_sort import Hashed, sorted_suffixes
 from eventflow.session import pin
 
 LENGTH = 100
@@ -86,10 +86,7 @@ def anchors(buffer: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     )
     ends = np.concatenate([new[1:], [len(valid)]]) - 1
     place = chosen[new]
-    # Comparable between buffers: the hash depends on the bytes only.
-    up = powers(CORE)[:CORE]
-    window = buffer[place[:, None] + np.arange(CORE)].astype(np.uint64) + np.uint64(1)
-    return (window * up).sum(axis=1, dtype=np.uint64), place, valid[new], valid[ends]
+    return hashes[place], place, valid[new], valid[ends]
 
 
 def _segments(sizes: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:

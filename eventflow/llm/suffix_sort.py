@@ -12,17 +12,16 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """The powers of the base from 0 to n, modulo 2^64."""
-    global _powers
-    if len(_powers) <= n:
-        many = np.full(max(n, 1 << 16) + 1, _BASE, np.uint64)
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The powers of an odd base from 0 to n at least, modulo 2^64."""
+    if base not in _powers or len(_powers[base]) <= n:
+        many = np.full(max(n, 1 << 16) + 1, base, np.uint64)
         many[0] = 1
-        _powers = np.multiply.accumulate(many)
-    return _powers
+        _powers[base] = np.multiply.accumulate(many)
+    return _powers[base]
 
 
 class Hashed:
@@ -31,6 +30,7 @@ class Hashed:
     def __init__(self, buffer: np.ndarray):
         self.bytes = buffer
         self._up = powers(len(buffer))
+        self._down = powers(len(buffer), pow(_BASE, -1, 2**64))
         terms = (buffer.astype(np.uint64) + np.uint64(1)) * self._up[: len(buffer)]
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
 
@@ -40,8 +40,8 @@ class Hashed:
         return left == (self._sums[j + n] - self._sums[j]) * self._up[i]
 
     def at(self, i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        """Hashes of n bytes from i that can be compared with each other."""
-        return (self._sums[i + n] - self._sums[i]) * self._up[len(self.bytes) - i]
+        """Hashes of n bytes from i; they depend on those bytes only."""
+        return (self._sums[i + n] - self._sums[i]) * self._down[i]
 
     def common(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes from i and j agree, ``most`` at most."""
