@@ -240,7 +240,7 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, none):
     for name, stage in corpus_pipeline.STAGES[1:]:
         for table in (odd, none):
             out = stage(spark, table, sf_dir)
-            assert out.count() <= 40
+            assert out.count() <= 40 or name == "best_fit_packing"  # which cuts the long texts
             if name in ("exact_dedup", "near_dedup"):
                 assert out.columns == table.columns
     kept = corpus_pipeline.exact_dedup(spark, odd, sf_dir).collect()
