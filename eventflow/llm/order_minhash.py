@@ -169,7 +169,9 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("least_id"), *[F.max(c).alias(c) for c in _NAMES]
     )
     return rows.select("doc_id", "digest"), pin(
-        texts.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", *_NAMES)
+        texts.select(
+            F.monotonically_increasing_id().alias("node"), F.xxhash64("digest").alias("tie"), "digest", "least_id", *_NAMES
+        )
     )
 
 
@@ -205,10 +207,11 @@ def _masks(nodes: DataFrame, size: int) -> DataFrame:
 
 def _compared(keyed: DataFrame, seekers: DataFrame | None, centres: int) -> DataFrame:
     """Pairs (``seeker, head``) of a bucket's members with its most popular one and, if asked for,
-    with two more that do not depend on it."""
+    with two more that do not depend on it. The texts decide, not the numbers of their nodes,
+    which differ from run to run."""
     heads = [F.max_by("node", "rank")]
     if centres > 1:
-        heads += [F.min("node"), F.max("node")]
+        heads += [F.min_by("node", "tie"), F.max_by("node", "tie")]
     groups = pin(
         keyed.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(heads)])
@@ -232,12 +235,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sketches = F.array(
         *[F.struct(F.lit(1 << i).alias("mask"), F.xxhash64(F.lit(i), F.col(c)).alias("key")) for i, c in enumerate(_NAMES)]
     )
-    single = nodes.select("node", F.explode(sketches).alias("k")).select("node", "k.key")
+    single = nodes.select("node", "tie", F.explode(sketches).alias("k")).select("node", "tie", "k.key")
     shared = pin(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "n"))
-    ours = pin(single.join(shared, F.col("key") == F.col("of")).select("node", "key", "n"))
-    tie = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    involved = pin(ours.groupBy("node").agg((F.sum("n") * (1 << 20) + tie).alias("rank")))
-    wanted = nodes.join(involved, "node").select("node", F.col("digest").alias("of"))
+    ours = pin(single.join(shared, F.col("key") == F.col("of")).select("node", "tie", "key", "n"))
+    # How popular, in steps of about one per cent, above 51 bits of the text's hash.
+    popular = F.floor(F.log2(F.sum("n")) * 64) * F.lit(1 << 51)
+    involved = pin(ours.groupBy("node", "tie").agg((popular + F.pmod("tie", F.lit(1 << 51))).alias("rank")))
+    wanted = nodes.join(involved.select("node"), "node").select("node", F.col("digest").alias("of"))
     given = docs.select(text_digest(F.col("text")).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     met = given.join(wanted, F.col("d") == F.col("of"))
     texts = pin(met.groupBy("node").agg(F.first("text").alias("text")))
