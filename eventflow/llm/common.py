@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from eventflow.session import checkpoint_root, pin
 
-#: Fixed value: the white space of the word patterns, tab to carriage return and the space.
-SPACES = " \t\n\x0b\x0c\r"
-
 BATCH_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 4_000
 
@@ -146,8 +143,7 @@ def single_spaced(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, none of a null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def count_words(text: Column) -> Column:

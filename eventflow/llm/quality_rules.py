@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import SPACES, words_of
+from eventflow.llm.common import words_of
 
 BUCKETS = 1 << 14
 MIN_SCORE = -0.25
@@ -32,7 +32,7 @@ def _repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
     """
     third = df.withColumn(
         "_windows",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
                 lambda w, i: F.struct(
@@ -43,7 +43,7 @@ def _repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
     )
     twice = third.withColumn(
         "_at",
-        F.array_sort(
+        F.sort_array(
             F.filter(
                 F.transform(
                     "_windows",
@@ -75,17 +75,14 @@ def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     given = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         words_of(body).alias("words"),
-        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(
-            F.split(body, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0
-        ).alias("lines"),
+        (F.length(body) - F.length(F.regexp_replace(body, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
+        F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     counted = given.select(
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -96,18 +93,8 @@ def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return repeats.withColumn("base_failed", failed)
 
 
-def grams(words: Column) -> Column:
-    """The buckets of a text's words and word pairs."""
-    low = F.transform(words, lambda w: F.lower(w))
-    single = F.transform(low, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    pair = F.zip_with(
-        low,
-        F.slice(low, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.when(
-            b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")
-        ),
-    )
-    return F.concat(single, F.filter(pair, lambda b: b.isNotNull()))
+def _bucket(*words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[float]:
@@ -115,11 +102,15 @@ def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[flo
 
     Counts are over all rows and whole texts. ``BUCKETS`` numbers come to the driver.
     """
-    buckets = docs.select(
-        F.coalesce(trusted, F.lit(False)).cast("long").alias("good"),
-        F.explode(grams(words_of(F.col(text)))).alias("bucket"),
+    low = docs.select(
+        F.coalesce(trusted, F.lit(False)).cast("long").alias("good"), words_of(F.lower(text)).alias("a")
     )
-    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+    pairs = low.select("good", F.explode(F.arrays_zip("a", F.slice("a", 2, F.size("a")).alias("b"))).alias("w"))
+    a, b = F.col("w.a"), F.col("w.b")
+    buckets = pairs.select(
+        "good", F.explode(F.array(_bucket(a), F.when(b.isNotNull(), _bucket(a, b)))).alias("bucket")
+    )
+    counts = buckets.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     shares = counts.select(
         "bucket",
         (F.log(F.col("good") + F.lit(1.0)) - F.log(F.col("n") + F.lit(1.0))).alias("ratio"),
@@ -135,11 +126,15 @@ def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[flo
 
 
 def score(words: Column, ratios: list[float]) -> Column:
-    """The mean log ratio of a text's n-grams; null for a text without words."""
+    """The mean log ratio of a text's n-grams, given its words in lower case; null for a text without words."""
     # One constant array, parsed once: its length is fixed by BUCKETS.
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
-    found = grams(words)
-    total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, b))
+    each = F.transform(
+        words,
+        lambda w, i: F.get(table, _bucket(w))
+        + F.when(i + 1 < F.size(words), F.get(table, _bucket(w, F.get(words, i + 1)))).otherwise(0.0),
+    )
+    total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
     return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1))
 
 
@@ -147,7 +142,8 @@ def judge(
     docs: DataFrame, ratios: list[float], least: float = MIN_SCORE, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``base_rules`` without words, plus ``score`` and ``kept``: base passed and score at least ``least``."""
-    scored = base_rules(docs, key, text).withColumn("score", score(F.col("words"), ratios)).drop("words")
+    counted = base_rules(docs, key, text).withColumn("_low", F.transform("words", lambda w: F.lower(w)))
+    scored = counted.withColumn("score", score(F.col("_low"), ratios)).drop("words", "_low")
     good = ~F.col("base_failed") & (F.coalesce("score", F.lit(float("-inf"))) >= least)
     return scored.withColumn("kept", good)
 
