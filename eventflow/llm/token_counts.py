@@ -3,7 +3,8 @@
 The distinct pre-tokens of a worker go into a trie. A node stands for a prefix
 and holds the best score of any way to cut that prefix into pieces, and how many
 pieces the best way has; both come from nodes above it, so a prefix that many
-words share is worked out once. The node where a word ends has the word's count.
+words share is worked out once. It also keeps where pieces may have begun that are
+not at their end yet. The node where a word ends has the word's count.
 
 A pre-token is a word with the vocabulary's space mark before it. Piece scores
 are -ln(rank + 1), Zipf's law on the order of the vocabulary file. A character
@@ -44,8 +45,8 @@ class Trie:
     """Nodes in flat lists; at ``MOST_NODES`` the trie begins anew."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        self.scores: dict[str, float | None] = {p[:n]: None for p in scores for n in range(1, len(p))}
+        self.scores |= scores  # None: only the beginning of pieces
         # A byte is as unlikely as the rarest piece, and a little more.
         self.byte_score = min(scores.values(), default=0.0) - 1.0
         self._clear()
@@ -54,6 +55,7 @@ class Trie:
         self.next: list[dict[str, int]] = [{}]
         self.best: list[float] = [0.0]
         self.count: list[int] = [0]
+        self.begun: list[tuple[int, ...]] = [()]
         self.terminal: dict[str, int] = {"": 0}
 
     def tokens(self, word: str) -> int:
@@ -73,8 +75,13 @@ class Trie:
                 size = len(c.encode())
                 score = self.best[node] + size * self.byte_score
                 count = self.count[node] + size
-                for start in range(max(0, end - self.longest), end):
-                    s = self.scores.get(word[start:end])
+                begun = []
+                for start in (*self.begun[node], end - 1):
+                    piece = word[start:end]
+                    if piece not in self.scores:
+                        continue
+                    begun.append(start)
+                    s = self.scores[piece]
                     if s is not None:
                         above = path[start]
                         new = self.best[above] + s
@@ -85,6 +92,7 @@ class Trie:
                 self.next.append({})
                 self.best.append(score)
                 self.count.append(count)
+                self.begun.append(tuple(begun))
             node = below
             path.append(node)
         return node
