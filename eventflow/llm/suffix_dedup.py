@@ -242,6 +242,11 @@ def repeated_windows(
         if len(mine) < 2:
             continue
         run = np.cumsum(shared < LENGTH - o)[mine]
+        met = run[1:] == run[:-1]
+        several = np.concatenate([[False], met]) | np.concatenate([met, [False]])
+        run, mine = run[several], mine[several]
+        if not len(mine):
+            continue
         left = text.at(sorted_at[mine] - o, o)
         by = np.lexsort((sorted_rank[mine], left, run))
         r, h, m = run[by], left[by], mine[by]
