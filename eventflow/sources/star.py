@@ -14,6 +14,30 @@ Load = Callable[[str], DataFrame]
 TICKER_LETTERS = 3
 
 
+# How far behind the latest time of a table its rows may come, in whatever order its files
+# are read: the time span of orders and line items, whose rows are in no order of time, and
+# that of the events. Customers are all known from the start.
+LAGS = {"events": "62 days", "orders": "3660 days", "lineitem": "3660 days", "customer": "0 seconds"}
+
+# Rows that end a table read as a stream: later than all others by more than any lag.
+END_ROW = {
+    "ts": "2200-01-01",
+    "o_orderdate": "2200-01-01",
+    "l_shipdate": "2200-01-01",
+    "o_orderkey": -1,
+    "o_custkey": -1,
+    "o_orderpriority": "1-URGENT",
+    "l_orderkey": -2,
+    "l_linenumber": 1,
+    "l_extendedprice": 0,
+}
+END_ROWS: dict[str, tuple[dict[str, str], ...]] = {
+    "events": ({"event_type": "signup"}, {"event_type": "purchase"}),
+    "orders": ({},),
+    "lineitem": ({},),
+}
+
+
 def loader(spark: SparkSession, folder: str) -> Load:
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -16,6 +17,8 @@ from eventflow.plans.sizes import input_bytes
 from eventflow.session import checkpoint_root, use_rocksdb_state
 from eventflow.sinks.tables import last_per_key
 
+_ASK_SECONDS = 1
+
 
 def table_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -27,7 +30,7 @@ def table_stream(
     table = spark.read.parquet(path)
     schema = table.schema
     reader = spark.readStream.schema(schema)
-    if any(file.endswith(path) for file in table.inputFiles()):  # a single file, not a folder
+    if _is_file(spark, path):
         path, name = path.rsplit("/", 1)
         reader = reader.option("pathGlobFilter", name)
     if max_files_per_trigger is not None:
@@ -43,6 +46,12 @@ def table_stream(
     )
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(place).isFile()
+
+
 def start(
     df: DataFrame,
     sink: Callable[[DataFrame, int], None],
@@ -63,13 +72,27 @@ def start(
     return writer.start()
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that stateful operators dropped as late, over the progress the query still has."""
-    return sum(
-        operator.numRowsDroppedByWatermark
+def dropped_rows(query: StreamingQuery) -> dict[int, int]:
+    """Rows that stateful operators dropped as late, for each micro-batch whose progress the query still has."""
+    return {
+        progress.batchId: sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
         for progress in query.recentProgress
-        for operator in progress.stateOperators
-    )
+    }
+
+
+def _work_off(query: StreamingQuery, timeout_seconds: float | None) -> int:
+    """Wait for the query's end; return the rows it dropped as late.
+
+    A query keeps the progress of its last hundred micro-batches only, so it is asked on the way.
+    """
+    until = None if timeout_seconds is None else time.monotonic() + timeout_seconds
+    late: dict[int, int] = {}
+    while not query.awaitTermination(_ASK_SECONDS):
+        late |= dropped_rows(query)
+        if until is not None and time.monotonic() > until:
+            query.stop()
+            raise TimeoutError(f"stream not finished after {timeout_seconds} s")
+    return sum((late | dropped_rows(query)).values())
 
 
 def run_to_table(
@@ -79,6 +102,7 @@ def run_to_table(
     per_batch: Callable[[DataFrame], DataFrame] | None = None,
     timeout_seconds: int | None = None,
     allow_late: bool = False,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Work off all available input into parquet and return what was written.
 
@@ -87,6 +111,10 @@ def run_to_table(
     ``batch_id`` is added for modes other than append, where a key comes out again
     when it changes. Rows that came too late for the watermark are an error, unless
     ``allow_late`` says that they may be left out.
+
+    ``finish`` is called when all input is worked off. It adds rows far ahead in time to
+    inputs that have ended; the query then goes on from its checkpoint, and the windows
+    that the watermark had not passed come out.
     """
     spark = df.sparkSession
     use_rocksdb_state(spark)
@@ -99,11 +127,10 @@ def run_to_table(
         rows = batch if per_batch is None else per_batch(batch)
         rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    query = start(df, write, f"{root}/checkpoint", mode)
-    if not query.awaitTermination(timeout_seconds) and timeout_seconds is not None:
-        query.stop()
-        raise TimeoutError(f"stream not finished after {timeout_seconds} s")
-    late = dropped_rows(query)
+    late = _work_off(start(df, write, f"{root}/checkpoint", mode), timeout_seconds)
+    if finish is not None:
+        finish()
+        late += _work_off(start(df, write, f"{root}/checkpoint", mode), timeout_seconds)
     if late and not allow_late:
         raise RuntimeError(f"{late} rows came behind the watermark; a longer lag is needed")
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from eventflow.operators import reports as R
 from eventflow.operators import shaping as S
 from eventflow.operators import text as T
 from eventflow.operators import windows as W
+from eventflow.session import checkpoint_root
 from eventflow.sinks import tables as K
 from eventflow.sources import generate as G
 from eventflow.sources import star
@@ -21,10 +23,13 @@ from eventflow.streaming import auctions as SA
 from eventflow.streaming import running as SR
 
 Query = Callable[[SparkSession, str], DataFrame]
+Build = Callable[[star.Load], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
 FIXED_SIZE = {"nation", "region"}
+# Files of a table in one micro-batch of a stream. Results do not depend on it.
+FILES_PER_BATCH = 1_000
 STREAMED = ("events", "orders", "lineitem", "customer", "documents")
 
 
@@ -38,25 +43,59 @@ def query(build: Callable[[star.Load], DataFrame]) -> Callable[[star.Load], Data
     return build
 
 
-def stream_query(build: Callable[[star.Load], DataFrame]) -> Callable[[star.Load], DataFrame]:
+class StreamedTables:
+    """A loader whose tables are streams; nations do not grow and stay a table.
+
+    ``close`` says that the tables in ``ends`` are complete: a row far ahead in time
+    moves the watermark past everything before it and stays in open windows itself.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, ends: tuple[str, ...]):
+        self.spark, self.folder, self.ends = spark, folder, ends
+        self.table = star.loader(spark, folder)
+        self.marks = f"{checkpoint_root(spark)}/ends-{uuid.uuid4().hex}"
+        for name in ends:
+            self.table(name).limit(0).write.parquet(f"{self.marks}/{name}")
+
+    def __call__(self, name: str) -> DataFrame:
+        if name in FIXED_SIZE:
+            return self.table(name)
+        rows = SR.table_stream(self.spark, f"{self.folder}/{name}.parquet", FILES_PER_BATCH)
+        if name not in self.ends:
+            return rows
+        return rows.unionByName(SR.table_stream(self.spark, f"{self.marks}/{name}"))
+
+    def close(self) -> None:
+        for name in self.ends:
+            schema = self.table(name).schema
+            given = [{**star.END_ROW, **row} for row in star.END_ROWS[name]]
+            rows = [tuple(str(row[f.name]) if f.name in row else None for f in schema) for row in given]
+            text = self.spark.createDataFrame(rows, ", ".join(f"`{f.name}` string" for f in schema))
+            typed = text.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+            typed.write.mode("append").parquet(f"{self.marks}/{name}")
+
+
+def stream_query(*ends: str) -> Callable[[Build], Build]:
     """As ``query``, with tables read as streams; times come back without zone.
 
-    Nations do not grow and stay a table: a stream may be joined with one.
+    ``ends`` names the tables whose last windows wait for the end of the input.
     """
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        table = star.loader(spark, folder)
+    def register(build: Build) -> Build:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tables = StreamedTables(spark, folder, ends)
+            with SR.state_partitions(spark, SR.partitions_for(tables.table, STREAMED)):
+                return zone_less(build(tables))
 
-        def load(name: str) -> DataFrame:
-            if name in FIXED_SIZE:
-                return table(name)
-            return SR.table_stream(spark, f"{folder}/{name}.parquet")
+        QUERIES[build.__name__] = run
+        return build
 
-        with SR.state_partitions(spark, SR.partitions_for(table, STREAMED)):
-            return zone_less(build(load))
+    return register
 
-    QUERIES[build.__name__] = run
-    return build
+
+def on_time(df: DataFrame, table: str, ts: str = "ts") -> DataFrame:
+    """Event time with the lag that covers the disorder of the table the rows are from."""
+    return W.with_event_time(df, ts, star.LAGS[table])
 
 
 def zone_less(df: DataFrame) -> DataFrame:
@@ -453,52 +492,53 @@ def watermark_delay_spread(load):
 # Streaming twins: the tables arrive as streams and are worked off to their end
 
 
-@stream_query
+@stream_query()
 def stream_q02_selection(load):
     return SR.run_to_table(A.q02_selection(star.bids(load)))
 
 
-@stream_query
+@stream_query()
 def stream_q03_local_item_suggestion(load):
-    auctions = W.with_event_time(star.auctions(load))
-    persons = W.with_event_time(star.persons(load))
+    auctions = on_time(star.auctions(load), "orders")
+    persons = on_time(star.persons(load), "customer")
     return SR.run_to_table(
         A.q03_local_item_suggestion(persons, auctions, star.STATES, ttl="1000 days")
     )
 
 
-@stream_query
+@stream_query("events")
 def stream_q05_hot_items(load):
-    bids = W.with_event_time(star.bids(load))
+    bids = on_time(star.bids(load), "events")
     counts, ranking = SA.q05_hot_items(bids, "1 day", "6 hours")
-    return SR.run_to_table(counts, per_batch=ranking)
+    return SR.run_to_table(counts, per_batch=ranking, finish=load.close)
 
 
-@stream_query
+@stream_query("events")
 def stream_q07_highest_bid(load):
-    return SR.run_to_table(A.q07_highest_bid(W.with_event_time(star.bids(load)), "1 hour"))
+    return SR.run_to_table(A.q07_highest_bid(on_time(star.bids(load), "events"), "1 hour"), finish=load.close)
 
 
-@stream_query
+@stream_query("events")
 def stream_q08_monitor_new_users(load):
     met = A.q08_monitor_new_users(
-        W.with_event_time(star.new_users(load)),
-        W.with_event_time(star.sales(load)),
+        on_time(star.new_users(load), "events"),
+        on_time(star.sales(load), "events"),
         "1 day",
         "12 hours",
     )
-    return SR.run_to_table(met).drop("state")
+    return SR.run_to_table(met, finish=load.close).drop("state")
 
 
-@stream_query
+@stream_query("events")
 def stream_trade_sliding_count_panes(load):
-    trades = W.with_event_time(star.trades(load), "time")
+    trades = on_time(star.trades(load), "events", "time")
     return SR.run_to_table(
-        W.sliding_count(trades, "time", "ticker", "1 day", "6 hours", "panes")
+        W.sliding_count(trades, "time", "ticker", "1 day", "6 hours", "panes"),
+        finish=load.close,
     )
 
 
-@stream_query
+@stream_query()
 def stream_word_count(load):
     counts = SR.run_to_table(T.word_count(star.lines(load)), "update")
     return SR.current_rows(counts, ["word"])
@@ -506,24 +546,27 @@ def stream_word_count(load):
 
 def _stream_won(load):
     return SA.winning_bids(
-        W.with_event_time(star.auctions(load)),
-        W.with_event_time(star.auction_bids(load)),
+        on_time(star.auctions(load), "orders"),
+        on_time(star.auction_bids(load), "lineitem"),
         star.MAX_DURATION,
     )
 
 
-@stream_query
+@stream_query("orders", "lineitem")
 def stream_winning_bids(load):
-    best = SR.run_to_table(_stream_won(load))
+    best = SR.run_to_table(_stream_won(load), finish=load.close)
     return best.select("auction_id", "seller_id", "category", "expires", "price")
 
 
-@stream_query
+@stream_query("orders", "lineitem")
 def stream_q04_average_price_for_category(load):
-    averages = SR.run_to_table(SA.q04_average_price_for_category(_stream_won(load)))
+    averages = SR.run_to_table(
+        SA.q04_average_price_for_category(_stream_won(load)), finish=load.close
+    )
     return rounded(averages, "average_price")
 
 
-@stream_query
+@stream_query("orders", "lineitem")
 def stream_q06_avg_selling_price(load):
-    return rounded(SR.run_to_table(SA.q06_avg_selling_price(_stream_won(load))), "average_price")
+    averages = SR.run_to_table(SA.q06_avg_selling_price(_stream_won(load)), finish=load.close)
+    return rounded(averages, "average_price")

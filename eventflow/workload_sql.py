@@ -88,7 +88,6 @@ VIEWS = {
     "latency": """
         SELECT t - start AS elapsed_ms, a - t AS latency_ms
         FROM scanned WHERE high IS NULL OR t > high""",
-    "closing": "SELECT least(max_o, max_l) AS mark FROM (SELECT max(o_orderdate) AS max_o FROM orders), (SELECT max(l_shipdate) AS max_l FROM lineitem)",
 }
 
 # What a view is built on.
@@ -198,23 +197,29 @@ _Q04 = """
     SELECT auction_id, category, expires,
            round(CAST(sum(price) OVER w AS DOUBLE) / count(*) OVER w, 6) AS average_price,
            max(expires) OVER w AS latest_auction_end
-    FROM won {closed}
+    FROM won
     WINDOW w AS (PARTITION BY category ORDER BY expires, auction_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 _Q06 = """
     SELECT auction_id, seller_id, expires,
            round(avg(price) OVER (PARTITION BY seller_id ORDER BY expires, auction_id
                                   ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS average_price
-    FROM won {closed}"""
-# A stream has closed what the lower of the two inputs' latest times has passed.
-_CLOSED = "WHERE expires <= (SELECT mark FROM closing)"
+    FROM won"""
 sql(
-    ("q04_average_price_for_category", "q04_average_price_spread"), "won", _Q04.format(closed="")
+    (
+        "q04_average_price_for_category",
+        "q04_average_price_spread",
+        "stream_q04_average_price_for_category",
+    ),
+    "won",
+    _Q04,
+)
+sql(
+    ("q06_avg_selling_price", "q06_avg_selling_price_spread", "stream_q06_avg_selling_price"),
+    "won",
+    _Q06,
 )
-sql(("q06_avg_selling_price", "q06_avg_selling_price_spread"), "won", _Q06.format(closed=""))
-sql("stream_winning_bids", "won closing", f"SELECT * FROM won {_CLOSED}")
-sql("stream_q04_average_price_for_category", "won closing", _Q04.format(closed=_CLOSED))
-sql("stream_q06_avg_selling_price", "won closing", _Q06.format(closed=_CLOSED))
+sql("stream_winning_bids", "won", "SELECT * FROM won")
 sql(
     "q04_final",
     "won",
@@ -229,19 +234,12 @@ _TOP = """
         FROM ({counts}))
     WHERE rank <= 10"""
 _COUNTS = sliding("bid", "ts", "1 day", "6 hours", "auction_id")
-sql("q05_hot_items", "bid", _TOP.format(counts=_COUNTS))
+sql(("q05_hot_items", "stream_q05_hot_items"), "bid", _TOP.format(counts=_COUNTS))
 sql(
     "q05_hot_items_panes",
     "bid",
     _TOP.format(counts=sliding("bid", "ts", "1 day", "30 minutes", "auction_id")),
 )
-sql(
-    "stream_q05_hot_items",
-    "bid",
-    f"""
-    SELECT * FROM ({_TOP.format(counts=_COUNTS)})
-    WHERE window_end <= (SELECT max(ts) FROM bid)""",
-)
 _Q07 = """
     SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, id, ts, auction_id, price
     FROM (SELECT *, date_trunc('hour', ts) AS window_start,
@@ -249,15 +247,10 @@ _Q07 = """
                                     ORDER BY price DESC, id) AS r
           FROM bid)
     WHERE r = 1"""
-sql("q07_highest_bid", "bid", _Q07)
-sql(
-    "stream_q07_highest_bid",
-    "bid",
-    _Q07 + " AND window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM bid)",
-)
+sql(("q07_highest_bid", "stream_q07_highest_bid"), "bid", _Q07)
 
 
-def _q08(closed: str) -> str:
+def _q08() -> str:
     places = """
         SELECT user_id, ts, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01')
                                         - INTERVAL '12 hours',
@@ -270,26 +263,16 @@ def _q08(closed: str) -> str:
     FROM (SELECT s, user_id, min(ts) AS person_ts FROM ({places.format(kind='signup')})
           GROUP BY ALL) p
     JOIN (SELECT s, user_id, count(*) AS auctions FROM ({places.format(kind='purchase')})
-          GROUP BY ALL) a ON p.s = a.s AND p.user_id = a.user_id {closed}"""
+          GROUP BY ALL) a ON p.s = a.s AND p.user_id = a.user_id"""
 
 
-sql("q08_monitor_new_users", "", _q08(""))
-sql(
-    "stream_q08_monitor_new_users",
-    "",
-    _q08(
-        """WHERE p.s + INTERVAL '24 hours' <= (
-            SELECT least((SELECT max(ts) FROM events WHERE event_type = 'signup'),
-                         (SELECT max(ts) FROM events WHERE event_type = 'purchase')))"""
-    ),
-)
+sql(("q08_monitor_new_users", "stream_q08_monitor_new_users"), "", _q08())
 sql("sliding_total", "bid", sliding("bid", "ts", "1 day", "6 hours", ""))
 _TRADES = sliding("trade", "time", "1 day", "6 hours", "ticker")
-sql(("trade_sliding_count", "trade_sliding_count_panes"), "trade", _TRADES)
 sql(
-    "stream_trade_sliding_count_panes",
+    ("trade_sliding_count", "trade_sliding_count_panes", "stream_trade_sliding_count_panes"),
     "trade",
-    f"SELECT * FROM ({_TRADES}) WHERE window_end <= (SELECT max(time) FROM trade)",
+    _TRADES,
 )
 sql(
     "trade_sliding_count_uneven",
