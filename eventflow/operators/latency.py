@@ -9,7 +9,6 @@ from eventflow.functions.timing import epoch_micros, epoch_millis, time_on_day
 from eventflow.functions.values import whole_number, without_last_char
 from eventflow.operators.shaping import split_fields
 from eventflow.plans.prefix import running
-from eventflow.plans.sizes import is_small
 from eventflow.session import pin
 
 # Fixed value: the profile reports five steps for each halving of the rest up to 100 %.
@@ -27,13 +26,12 @@ def latency_log(
     above all earlier ones. That is the same as: no larger timestamp arrived
     earlier, which needs only the first arrival of each distinct timestamp.
     """
-    large = not is_small(df) if spread is None else spread
     first = (
         df.select(epoch_micros(df, ts).alias("__t"), epoch_micros(df, arrival).alias("__a"))
         .groupBy("__t")
         .agg(F.min("__a").alias("__a"))
     )
-    if large:
+    if spread is not False:
         first = pin(first)
     start = first.agg(F.min_by("__t", F.struct("__a", "__t")).alias("start")).scalar()
     flagged = running(
@@ -113,9 +111,8 @@ def latency_profile(
     reaches it. The last row is the maximum at percentile 1, whose inverse
     1 / (1 - p) is null. Latencies are not rounded.
     """
-    large = not is_small(log) if spread is None else spread
     counts = measured_histogram(log, warmup, total)
-    if large:
+    if spread is not False:
         counts = pin(counts)
     ranked = running(
         counts, [], ["latency_ms"], {"total_count": ("sum", F.col("n"))}, spread

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from eventflow.plans.sizes import is_small
+from eventflow.plans.sizes import slices_for
 from eventflow.plans.skew import hot_keys
 from eventflow.session import pin
 
@@ -55,8 +55,8 @@ def running(
 
     ``aggs`` maps a new column to (kind, expression), kind being sum, count,
     min or max. ``order`` must be a total order inside a key. With ``spread``
-    unset, inputs small enough for one task take a plain window, and so do all
-    keys but the hot ones of larger inputs. ``derived`` says that the input is
+    unset, hot keys and orders without a key are sliced whatever the size of the
+    input; all other keys take a plain window. ``derived`` says that the input is
     costly to compute and should be written once rather than computed again.
     """
     keys = list(keys)
@@ -89,13 +89,7 @@ def _by_group_size(
     """
     if spread is not None:
         return sliced(df) if spread else plain(df)
-    if is_small(df):
-        return plain(df)
-    if not keys and not derived:
-        return sliced(df)
     rows = pin(df) if derived else df
-    if derived and is_small(rows):
-        return plain(rows)
     if not keys:
         return sliced(rows)
     group = F.xxhash64(*keys)
@@ -114,7 +108,7 @@ def _running_in_slices(
     slices: int | None,
 ) -> DataFrame:
     by = [F.col(k) for k in keys] + order
-    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    ranged = df.repartitionByRange(slices or slices_for(df), *by)
     sliced = pin(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
     carry = _carried_in(sliced, keys, aggs)

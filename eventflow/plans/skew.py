@@ -7,34 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.plans.sizes import SMALL_INPUT_BYTES, is_small
+from eventflow.plans.sizes import will_broadcast
 
 _SALT = "__salt"
 
-# At most 1 / HOT_SHARE keys can hold this share of a table, so the list of hot
-# keys has a fixed size bound however large the table is.
-HOT_SHARE = 0.0001
+# A key is hot from this many rows on, whatever its share of the table. The list of hot
+# keys is bounded: it holds the HOT_KEYS most frequent ones.
 HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 SALTS = 64
 
 
 def hot_keys(
     df: DataFrame, key: str, share: float | None = None, min_rows: int | None = None
 ) -> list:
-    """Keys that hold at least ``share`` of the rows and at least ``min_rows``.
+    """Keys that hold at least ``min_rows`` rows and, if given, at least ``share`` of all.
 
     One pass over one column with a mergeable heavy-hitter sketch: nothing is
     shuffled by key, and one row of bounded size comes back. The answer steers
     how a join is spread out, never which rows it returns.
     """
-    share = HOT_SHARE if share is None else share
     min_rows = HOT_ROWS if min_rows is None else min_rows
-    most = int(1 / share)
+    most = HOT_KEYS if share is None else int(1 / share)
     row = df.agg(
         F.count(key).alias("rows"),
         F.expr(f"approx_top_k(`{key}`, {most}, {most * 10})").alias("top"),
     ).first()
-    floor = max(min_rows, share * row["rows"])
+    floor = min_rows if share is None else max(min_rows, share * row["rows"])
     return [item["item"] for item in row["top"] or [] if item["count"] >= floor]
 
 
@@ -48,18 +47,18 @@ def skew_safe_join(
     salt_by: Sequence[str] | None = None,
     hot: list | None = None,
     salts: int = SALTS,
-    small_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Join on one key; rows of ``big`` with a hot key are split over ``salts`` tasks.
 
     ``other`` is repeated for hot keys only. Column names of the two sides must
     differ. ``how`` is inner or left (``big`` is the kept side). Whether
-    ``other`` is broadcast is left to Catalyst, which checks its size.
+    ``other`` is broadcast is left to Catalyst, which checks its size; where it
+    will be, no key can be too hot and ``big`` is not looked through for any.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if hot is None:
-        hot = [] if big.isStreaming or is_small(big, small_bytes) else hot_keys(big, big_key)
+        hot = [] if big.isStreaming or will_broadcast(other) else hot_keys(big, big_key)
     condition = big[big_key] == other[other_key]
     if not hot:
         return big.join(other, condition if extra is None else condition & extra, how)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventflow.plans.prefix import running, trailing, with_position
-from eventflow.plans.sizes import input_bytes, is_small
+from eventflow.plans.sizes import input_bytes, slices_for, will_broadcast
 
 
 def skewed_rows(n=600, seed=7):
@@ -119,19 +119,18 @@ def test_input_size_comes_from_files(spark, sf_dir):
     size = input_bytes(events)
     assert 0 < size < 10_000_000
     assert input_bytes(events.join(events.select("user_id"), "user_id")) < 3 * size
-    assert is_small(events) and not is_small(events, 10)
+    assert slices_for(events) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert will_broadcast(events)
 
 
 @pytest.fixture
-def no_small_inputs(monkeypatch):
-    monkeypatch.setattr("eventflow.plans.prefix.is_small", lambda df: False)
+def low_hot_floor(monkeypatch):
     monkeypatch.setattr("eventflow.plans.skew.HOT_ROWS", 100)
-    monkeypatch.setattr("eventflow.plans.skew.HOT_SHARE", 0.2)
 
 
 @pytest.mark.parametrize("keys", [["k"], ["k", "c"], []])
 @pytest.mark.parametrize("derived", [True, False])
-def test_only_hot_groups_are_sliced(spark, no_small_inputs, monkeypatch, keys, derived):
+def test_only_hot_groups_are_sliced(spark, low_hot_floor, monkeypatch, keys, derived):
     """Keys 0 and null hold a third each and are sliced; the others are not."""
     from eventflow.plans import prefix
 
@@ -150,7 +149,7 @@ def test_only_hot_groups_are_sliced(spark, no_small_inputs, monkeypatch, keys, d
     assert sliced_keys == {0, None} if keys else len(sliced_keys) > 2
 
 
-def test_trailing_slices_only_hot_groups(spark, no_small_inputs):
+def test_trailing_slices_only_hot_groups(spark, low_hot_floor):
     df = spark.createDataFrame(skewed_rows(), "k int, o int, i int, v int")
     args = (["k"], ["o", "i"], -4, 0, lambda w: {"a": F.sum("v").over(w)})
     plain = trailing(df, *args, spread=False)

@@ -33,10 +33,19 @@ def test_salted_join_equals_plain_join(big, side, how):
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
 
 
-def test_detection_is_used_when_inputs_are_not_small(big, side, monkeypatch):
-    monkeypatch.setattr("eventflow.plans.skew.HOT_ROWS", 100)
-    joined = skew_safe_join(big, side, "k", "sk", small_bytes=0)
-    assert joined.count() == skew_safe_join(big, side, "k", "sk", hot=[]).count()
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_hot_keys_are_looked_for_unless_the_side_is_broadcast(spark, big, side, monkeypatch, broadcast):
+    asked = []
+    monkeypatch.setattr("eventflow.plans.skew.hot_keys", lambda df, key: asked.append(key) or [5])
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, before if broadcast else "-1")
+    try:
+        joined = skew_safe_join(big, side, "k", "sk")
+        assert asked == ([] if broadcast else ["k"])
+        assert joined.count() == skew_safe_join(big, side, "k", "sk", hot=[]).count()
+    finally:
+        spark.conf.set(setting, before)
 
 
 def test_hot_rows_are_spread(spark, big, side):
