@@ -3,10 +3,10 @@
 A text's k-mers are its runs of five words, told apart by how often they came
 before. For each of ``TABLES`` permutations the two least k-mers, in text order,
 give one number: texts that differ by few edits share most of these. A bucket is
-what agrees in a number. Its members are compared with its most popular member,
-and those unlike it once more in narrower buckets (see ``links``), so no bucket is
-expanded into all its pairs and no text is left out. As with any such sketch a link
-can be missed; the README has the recall against brute force.
+what agrees in a number. Its members are compared with its most popular member;
+then every pair of a bucket that is not in one class yet is compared, but for those
+whose rarest k-mers show that they cannot be similar (see ``_rest``). A link can only
+be missed where two texts share no number; the README has the recall.
 
 Two texts are linked if an alignment of their k-mers, in order, matches m with
 m / (a + b - m) >= ``SIMILARITY``. Texts of fewer than five words are one k-mer;
@@ -18,13 +18,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import pin_python, ship
@@ -34,7 +33,8 @@ from eventflow.session import pin
 WORDS = 5
 TABLES = 12
 SIMILARITY = 0.8
-REFINED = 3  # numbers that agree in the narrowest buckets
+PART_PAIRS = 500_000  # aligned at once
+MOST_PARTS = 16
 BLOCK_BITS = 8192
 
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -71,21 +71,26 @@ def kmers(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def labelled(runs: np.ndarray) -> np.ndarray:
+    """The k-mers told apart by how often they came before; the first of each is as it is."""
+    n = len(runs)
+    if len(np.unique(runs)) == n:
+        return runs
+    order = np.argsort(runs, kind="stable")
+    ordered = runs[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.arange(n)
+    times = np.empty(n, np.uint64)
+    times[order] = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    return runs + _mix(times)  # which is 0 for 0
+
+
 def sketch(runs: np.ndarray) -> np.ndarray:
     """One number for each table; all zero for a text without k-mers."""
     n = len(runs)
     if not n:
         return np.zeros(TABLES, np.int64)
-    labelled = runs
-    if len(np.unique(runs)) < n:
-        order = np.argsort(runs, kind="stable")
-        ordered = runs[order]
-        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        place = np.arange(n)
-        times = np.empty(n, np.uint64)
-        times[order] = place - np.maximum.accumulate(np.where(fresh, place, 0))
-        labelled = runs + _mix(times + np.uint64(1))
-    ranks = _mix(labelled[:, None] * _SEEDS[None, :])
+    ranks = _mix(labelled(runs)[:, None] * _SEEDS[None, :])
     if n == 1:
         return (ranks[0] | np.uint64(1)).astype(np.int64)
     least = np.argpartition(ranks, 1, axis=0)[:2]
@@ -178,12 +183,6 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 _NAMES = [f"s{i}" for i in range(TABLES)]
 
 
-def _keyed(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`key`` of each (node, mask): a hash of the sketch's numbers that the mask names."""
-    parts = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(c)) for i, c in enumerate(_NAMES)]
-    return members.join(nodes, "node").select("node", F.xxhash64("mask", *parts).alias("key"))
-
-
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``u, v``) whose texts are similar."""
 
@@ -199,29 +198,108 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pin_python(both.mapInArrow(check, "u bigint, v bigint"))
 
 
-def _masks(nodes: DataFrame, size: int) -> DataFrame:
-    """Each node with every choice of ``size`` of its sketch's numbers, as bits."""
-    chosen = [sum(1 << i for i in c) for c in combinations(range(TABLES), size)]
-    return nodes.select("node", F.explode(F.array(*map(F.lit, chosen))).alias("mask"))
-
-
-def _compared(keyed: DataFrame, seekers: DataFrame | None, centres: int) -> DataFrame:
-    """Pairs (``seeker, head``) of a bucket's members with its most popular one and, if asked for,
-    with two more that do not depend on it. The texts decide, not the numbers of their nodes,
-    which differ from run to run."""
-    heads = [F.max_by("node", "rank")]
-    if centres > 1:
-        heads += [F.min_by("node", "tie"), F.max_by("node", "tie")]
+def _heads(keyed: DataFrame) -> DataFrame:
+    """Pairs (``u, v``) of a bucket's members with its most popular one. The texts decide, not the
+    numbers of their nodes, which differ from run to run."""
     groups = pin(
         keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(heads)])
+        .agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "rank").alias("head"))
         .where("n > 1")
-        .select(F.col("key").alias("of"), F.array_distinct(F.array(*[f"h{i}" for i in range(len(heads))])).alias("heads"))
+        .select(F.col("key").alias("of"), "head")
+    )
+    met = keyed.join(groups, F.col("key") == F.col("of")).where("node <> head")
+    return met.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+
+
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row with the ``root`` of its node among the links found so far."""
+    roots = components(found).select(F.col("node").alias("of_node"), "root")
+    met = members.join(roots, F.col("node") == F.col("of_node"), "left")
+    return pin(met.withColumn("root", F.coalesce("root", "node")).drop("of_node"))
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """``key, node, n, place, rank``: the rarest k-mers of each text, ``n`` in all, that another text has too.
+
+    Two texts of which m of a + b - m k-mers agree, at ``SIMILARITY`` or above, have a k-mer in
+    common among the n // 5 + 1 first of each, in whatever order all texts follow. With rare ones first, a
+    passage that many texts have is no key unless it is most of a text. ``rank`` is the mean log
+    count of all k-mers of a text: the text that others were made from has none that only it has.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [labelled(r) for r in kmers(batch.column(2))]
+            sizes = np.array([len(r) for r in runs], np.int64)
+            columns = [np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)]
+            flat = np.concatenate([*runs, np.empty(0, np.uint64)]).astype(np.int64)
+            given = [*columns, np.repeat(sizes, sizes), flat]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in given], ["node", "tie", "n", "key"])
+
+    given = texts.select("node", F.xxhash64("text").alias("tie"), "text")
+    each = pin_python(given.mapInArrow(split, "node bigint, tie bigint, n bigint, key bigint"))
+    often = pin(each.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("key").alias("of"), "times"))
+    counted = each.join(often, F.col("key") == F.col("of"), "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    one = Window.partitionBy("node")
+    placed = counted.withColumn("place", F.row_number().over(one.orderBy("times", "key"))).withColumn(
+        "rank", F.struct(F.round(F.avg(F.log("times")).over(one), 6), "tie")
     )
-    rows = keyed if seekers is None else keyed.join(seekers, F.col("node") == F.col("seeker"), "left_semi")
-    met = rows.join(groups, F.col("key") == F.col("of"))
-    pairs = met.select(F.col("node").alias("seeker"), F.explode("heads").alias("head"))
-    return pairs.where("seeker <> head").distinct()
+    return pin(placed.where("times > 1 and place <= floor(n / 5) + 1").select("key", "node", "n", "place", "rank"))
+
+
+def _apart(members: DataFrame, every: bool) -> DataFrame:
+    """Pairs of members of a key in different components: with its best-ranked member, or ``every`` one.
+
+    Pairs too unlike in length, or with too few k-mers left after the key, cannot be similar.
+    """
+    parts = members.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", "node", "n", "place")).alias("best")
+    )
+    mixed = pin(
+        parts.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("size", "root")).alias("main"), F.max_by(F.struct("root", "best"), "best").alias("top"))
+        .where("parts > 1")
+        .select(F.col("key").alias("of"), "main", F.col("top.root").alias("root2"), F.col("top.best.node").alias("node2"), F.col("top.best.n").alias("n2"), F.col("top.best.place").alias("place2"))
+    )
+    met = members.join(mixed, F.col("key") == F.col("of"))
+    if every:  # one of two members is outside the largest component of the key
+        others = met.select("of", *[F.col(c).alias(f"{c}2") for c in ("root", "node", "n", "place")])
+        ours = met.where("root <> main").select("key", "root", "node", "n", "place", "main")
+        met = ours.join(others, (F.col("key") == F.col("of")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))))
+    need = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("n2")) - 1e-6
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
+    good = met.where((F.col("root") != F.col("root2")) & (left >= need))
+    return good.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+
+
+def _rest(ours: DataFrame, texts: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+    """``found`` and the links among what the heads left apart.
+
+    A bucket is open if it has three members or more and they are in different components. Members of
+    open buckets are compared with the best-ranked one of each key of ``_prefixes``, then with all others
+    of their keys, until every pair is tested, in one component, or cannot be similar.
+    """
+    members = _rooted(ours.where("n > 2").select("key", "node"), found)
+    unsettled = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    wanted = pin(members.join(unsettled.select("key"), "key", "left_semi").select("node").distinct())
+    if wanted.isEmpty():
+        return found
+    keyed = _prefixes(texts.join(wanted, "node"))
+    for every in (False, True):
+        pairs = pin(_apart(_rooted(keyed, found), every).join(tested, ["u", "v"], "left_anti"))
+        n = pairs.count()
+        parts = min(MOST_PARTS, -(-n // PART_PAIRS))
+        for i in range(parts):
+            some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == i)
+            if i:  # what earlier parts have put into one component is settled
+                roots = pin(components(found))
+                for c in ("u", "v"):
+                    to = roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+                    some = some.join(to, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+                some = some.where("root_u <> root_v").select("u", "v")
+            found = pin(found.unionByName(_aligned(some, texts)))
+        tested = tested.unionByName(pairs)
+    return found
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -229,8 +307,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A node's rank grows with how many nodes share its numbers. A text that others
     were made from keeps more of theirs than they have of each other, so the member
-    of highest rank is the one to compare a bucket with. Nodes unlike theirs look
-    again, in buckets that agree in two numbers and in three, at three members each.
+    of highest rank is the one to compare a bucket with first. ``_rest`` does all others.
     """
     sketches = F.array(
         *[F.struct(F.lit(1 << i).alias("mask"), F.xxhash64(F.lit(i), F.col(c)).alias("key")) for i, c in enumerate(_NAMES)]
@@ -246,27 +323,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = given.join(wanted, F.col("d") == F.col("of"))
     texts = pin(met.groupBy("node").agg(F.first("text").alias("text")))
 
-    found, tested, seekers = None, None, None
-    for size in range(1, REFINED + 1):
-        if size == 1:
-            keyed = ours.select("node", "key")
-        else:  # in the last step seekers meet seekers
-            who = involved if size < REFINED else seekers.select(F.col("seeker").alias("node"))
-            keyed = _keyed(_masks(who, size), nodes).select("node", "key")
-        pairs = _compared(keyed.join(involved, "node"), seekers, 1 if size == 1 else 3)
-        if tested is not None:
-            pairs = pairs.join(tested, ["seeker", "head"], "left_anti")
-        pairs = pin(pairs)
-        good = _aligned(pairs.select(F.col("seeker").alias("u"), F.col("head").alias("v")), texts)
-        found = good if found is None else pin(found.unionByName(good))
-        tested = pairs if tested is None else pin(tested.unionByName(pairs))
-        unlike = pairs.join(
-            good, (F.col("seeker") == F.col("u")) & (F.col("head") == F.col("v")), "left_anti"
-        )
-        seekers = pin(unlike.select("seeker").distinct())
-        if seekers.isEmpty():
-            break
-    return found
+    tested = pin(_heads(ours.select("node", "key").join(involved.select("node", "rank"), "node")))
+    return _rest(ours, texts, _aligned(tested, texts), tested)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

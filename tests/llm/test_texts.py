@@ -199,6 +199,49 @@ def test_near_duplicates_of_one_text(spark):
     assert got == {k: min(g) for g in ordered_classes(texts).values() for k in g}
 
 
+def star(rng, n, name):
+    """A text and ``n`` variants, each near it and none near another."""
+    base = [f"{name}{rng.randint(0, 9999)}" for _ in range(300)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(300), 5):
+            words[at] = f"x{rng.randint(0, 99999)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_duplicates_that_heads_miss(spark):
+    """Stars whose middle is not the most popular, chains, and pairs in a passage that many texts have."""
+    rng = random.Random(11)
+    texts = [t for i in range(2) for t in star(rng, 90, f"s{i}_")]
+    for i in range(1):  # each text near the next one only
+        words = [f"c{i}_{rng.randint(0, 9999)}" for _ in range(200)]
+        for at in range(0, 60, 4):
+            texts.append(" ".join(words))
+            words[at : at + 4] = [f"y{rng.randint(0, 99999)}" for _ in range(4)]
+            words[(at * 7) % 200] = f"z{rng.randint(0, 99999)}"
+    passage = [f"p{i}" for i in range(150)]
+    for i in range(30):
+        words = [f"q{rng.randint(0, 99999)}" for _ in range(100)]
+        texts.append(" ".join(passage + words))
+        if i % 3 == 0:
+            texts.append(" ".join([*passage, *words[:50], "other", *words[51:]]))
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(table).collect()}
+    want = {k: min(g) for g in ordered_classes(texts).values() for k in g}
+    assert sum(got[k] != want[k] for k in want) == 0
+
+
+def test_sketch_of_a_repeat():
+    """A k-mer that comes twice changes what the second one counts as, not the others."""
+    runs = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    twice = np.concatenate([runs, runs[:1]])
+    assert (order_minhash.sketch(runs) == order_minhash.sketch(twice)).sum() >= 9
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     got = order_minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
