@@ -2,6 +2,150 @@
 
 from __future__ import annotations
 
+
+_AUDIT = r"""
+    WITH flags AS (
+        SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic
+        FROM labels GROUP BY doc_id),
+    docs AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    masks AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               (len(words) < 100)::INT
+               + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+               + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+               + 8 * regexp_matches(t, '[#$%&*|]')::INT
+               + 16 * coalesce(docs.doc_id > min(docs.doc_id) OVER (PARTITION BY t), FALSE)::INT AS mask
+        FROM docs LEFT JOIN flags ON docs.doc_id = flags.doc_id),
+    counted AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+    letters(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (
+        SELECT filter_order, step::INT AS step, bits[step] AS bit,
+               coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    removals AS (
+        SELECT part, bit, sum(CASE WHEN mask & steps.bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS shapley
+        FROM counted, steps GROUP BY part, bit)
+    SELECT counted.part AS part, filter_order, step,
+           sum(CASE WHEN mask & (before | steps.bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & steps.bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & steps.bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = steps.bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & steps.bit <> 0 AND mask & before = 0 THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & steps.bit <> 0 AND mask & before = 0 THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost,
+           any_value(shapley) AS shapley
+    FROM counted, steps JOIN removals r ON r.bit = steps.bit WHERE r.part = counted.part
+    GROUP BY counted.part, filter_order, step"""
+
+# The cheapest edits, row by row. A state is null or {c: cost, a: audit, r: repaired lines}.
+
+
+def _edit(state: str, cost: str, edit: str, line: str = "''") -> str:
+    made = f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {state}.r || {line}}}"
+    return f"CASE WHEN {state} IS NULL THEN NULL ELSE {made} END"
+
+
+def _step(kept: str, state: str, edit: str, role: str) -> str:
+    cost = f"({'1' if edit == 'R' else '0'} + stays)"
+    return f"CASE WHEN {kept} THEN {_edit(state, cost, edit, f'chr(10) || {role} || chr(58) || text')} END"
+
+
+def _least(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _inserted(rows: str) -> str:
+    """States s0, s1, e2, e3 after any inserts."""
+    user = [_edit(s, "5", "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")]
+    return f"""
+    SELECT d.* EXCLUDE (s2, s3), {_least("s3", _edit("e2", "5", "I", "chr(10) || 'assistant:'"))} AS e3
+    FROM (SELECT *, {_least("s2", *user)} AS e2 FROM ({rows})) d"""
+
+
+_WITH_ROW = """
+    SELECT done.*, f.ini, f.role, f.text, f.fault <> 1 AND f.fault <> 2 AS may,
+           CASE WHEN f.fault = 3 THEN 5 ELSE 0 END AS stays
+    FROM done JOIN faults f ON f.conv = done.conv AND f.k = done.k + 1"""
+_AT_END = "SELECT done.* FROM done JOIN counts ON counts.conv = done.conv AND counts.rows = done.k"
+_TO_U = ("s0", "s1", "e3")
+_STEP = f"""
+    SELECT conv, k + 1 AS k,
+           {_edit("s0", "2", "D")} AS s0,
+           {_least(_edit("s1", "2", "D"), _step("may AND ini = 's'", "s0", "K", "role"))} AS s1,
+           {_least(_edit("e2", "2", "D"), *(_step("may AND ini = 'u'", s, "K", "role") for s in _TO_U), *(_step("may", s, "R", "'user'") for s in _TO_U))} AS s2,
+           {_least(_edit("e3", "2", "D"), _step("may AND ini = 'a'", "e2", "K", "role"), _step("may", "e2", "R", "'assistant'"))} AS s3
+    FROM ({_inserted(_WITH_ROW)})"""
+
+_REPAIR = rf"""
+    WITH RECURSIVE
+    tables AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS tab),
+    keyed AS (
+        SELECT dense_rank() OVER (ORDER BY conv_id) AS conv, conv_id, turn, coalesce(role, ' ') AS role,
+               coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+        FROM conversations),
+    kinds AS (
+        SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(name, '')]),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+        FROM keyed, tables),
+    damaged AS (
+        SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM kinds, (SELECT unnest(range(2)) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+    faults AS (
+        SELECT conv, turn, role, text, k, left(role, 1) AS ini,
+               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                    WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 THEN 2
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+               lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) || left(role, 1) AS pair
+        FROM placed),
+    counts AS (
+        SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+               count(*) FILTER (WHERE fault = 3) AS truncated,
+               count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS rows
+        FROM faults GROUP BY conv),
+    done AS (
+        SELECT conv, 0::BIGINT AS k, {{'c': 0, 'a': '', 'r': ''}}::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s0,
+               NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s2,
+               NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s3
+        FROM counts
+        UNION ALL
+        {_STEP}),
+    ends AS (
+        SELECT conv, {_least("s0", "e3")} AS best
+        FROM ({_inserted(_AT_END)}))
+    SELECT every.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+           coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv, conv_id FROM keyed) every
+    LEFT JOIN counts ON counts.conv = every.conv LEFT JOIN ends ON ends.conv = every.conv"""
+
+_CHAT = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL
+        SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok'
+        FROM (SELECT unnest(range(2)) AS k))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                           FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           sum(length('<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')
+                      || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT
+               AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
 ORACLES: dict[str, str] = {
     "op7_digest_index": r"""
         WITH digests AS (
@@ -11,4 +155,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM digests WINDOW same AS (PARTITION BY text_sha256)""",
+    "op11_filter_audit": _AUDIT,
+    "op12_conversation_repair": _REPAIR,
+    "op13_chat_format": _CHAT,
 }
