@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,19 +52,6 @@ READ = (
     "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
     "loss_sha256 string, formatted_chars bigint"
 )
-_FIELDS = pa.schema(
-    [
-        ("conv_id", pa.int64()),
-        ("piece", pa.int64()),
-        ("n_turns", pa.int64()),
-        ("formatted", pa.string()),
-        ("ids", pa.list_(pa.int32())),
-        ("starts", pa.list_(pa.int32())),
-        ("ends", pa.list_(pa.int32())),
-        ("loss", pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))),
-    ]
-)
-
 
 def escape(text: str) -> str:
     return _MARK.sub(r"<\\\1|", text)
@@ -125,32 +113,32 @@ def _tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
+def _listed(parts: list, kind: pa.DataType) -> pa.ListArray:
+    """Lists of numbers end to end, each of ``parts`` one list."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), kind))
+
+
 def _encoded(pieces: list[_Piece], path: str, base: int) -> pa.RecordBatch:
     texts = ["".join(p.parts) for p in pieces]
-    rows = []
-    for n, (piece, text, found) in enumerate(
-        zip(
-            pieces,
-            texts,
-            _tokenizer(path).encode_batch(texts, add_special_tokens=False),
-            strict=True,
-        )
-    ):
-        offsets = np.array(found.offsets, np.int32).reshape(-1, 2)
-        starts, ends = offsets[:, 0], offsets[:, 1]
-        rows.append(
-            {
-                "conv_id": piece.key,
-                "piece": base + n,
-                "n_turns": piece.turns,
-                "formatted": text,
-                "ids": np.array(found.ids, np.int32),
-                "starts": starts,
-                "ends": ends,
-                "loss": met(starts, ends, piece.spans),
-            }
-        )
-    return pa.RecordBatch.from_pylist(rows, _FIELDS)
+    found = _tokenizer(path).encode_batch(texts, add_special_tokens=False)
+    ids = [np.array(e.ids, np.int32) for e in found]
+    flat = [
+        np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(i))
+        for e, i in zip(found, ids, strict=True)
+    ]
+    starts, ends = [x[0::2] for x in flat], [x[1::2] for x in flat]
+    loss = [met(a, b, p.spans) for a, b, p in zip(starts, ends, pieces, strict=True)]
+    numbers = pa.int32()
+    columns = [
+        pa.array([p.key for p in pieces], pa.int64()),
+        pa.array(range(base, base + len(pieces)), pa.int64()),
+        pa.array([p.turns for p in pieces], pa.int64()),
+        pa.array(texts, pa.string()),
+        *[_listed(x, numbers) for x in (ids, starts, ends)],
+        pa.array(loss, pa.list_(pa.struct([(n, numbers) for n in ("first", "last", "start", "end")]))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in PIECES.split(", ")])
 
 
 def format_conversations(rows: DataFrame, path: str, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -199,15 +187,18 @@ class _ReadBack:
         self.turns, self.chars, self.all, self.loss = 0, 0, Sha256(), Sha256()
 
     def add(self, batch: pa.RecordBatch) -> None:
-        for row in batch.to_pylist():
-            text = row["formatted"]
+        texts, starts, ends, loss = (
+            batch.column(batch.schema.get_field_index(n)) for n in ("formatted", "starts", "ends", "loss")
+        )
+        spans = loss.to_pylist()
+        for i, text in enumerate(texts.to_pylist()):
             self.chars += len(text)
             for role, body in TURN.findall(text):
                 self.turns += 1
                 self.all.add(f"{unescape_role(role)}\n{unescape(body)}\n")
-            starts, ends = np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)
-            for span in row["loss"]:
-                self.loss.add(unescape(masked(text, starts, ends, span)))
+            low, high = (x[i].values.to_numpy() for x in (starts, ends))
+            for span in spans[i]:
+                self.loss.add(unescape(masked(text, low, high, span)))
 
     def end(self) -> tuple:
         return self.turns, self.all.hex(), self.loss.chars, self.loss.hex(), self.chars
@@ -220,10 +211,11 @@ def masked(text: str, starts: np.ndarray, ends: np.ndarray, span: dict) -> str:
     high = np.minimum(ends[tokens], span["end"])
     if not len(low):
         return ""
-    reached = np.concatenate([[low[0]], np.maximum.accumulate(high)[:-1]])
-    low = np.maximum(low, reached)
-    new = low < high
-    return "".join([text[a:b] for a, b in zip(low[new].tolist(), high[new].tolist(), strict=True)])
+    reached = np.maximum.accumulate(high)
+    if (low[1:] <= reached[:-1]).all():  # no gap, as a tokenizer that keeps all text gives them
+        return text[low[0] : reached[-1]]
+    low[1:] = np.maximum(low[1:], reached[:-1])
+    return "".join([text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b])
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
