@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventflow.functions import codec, values
+from eventflow.operators import aggregates as U
 from eventflow.operators import auctions as A
 from eventflow.operators import latency as L
 from eventflow.operators import reports as R
@@ -295,6 +296,38 @@ def arrival_window_count(load):
     return W.arrival_window_count(star.arrivals(load), "arrival", "user_id", "1 day", "6 hours")
 
 
+# Aggregates of one's own
+
+
+@query
+def user_aggregate(load):
+    """Count, mean and variance of the prices of each ticker."""
+    return rounded(U.aggregate(star.trades(load), ["ticker"], U.variance("price")), "mean", "variance")
+
+
+@query
+def user_aggregate_sliding(load):
+    """The same over sliding windows, panes added and deducted."""
+    trades = star.trades(load)
+    moved = U.sliding_aggregate(trades, "time", ["ticker"], U.variance("price"), "1 day", "2 hours")
+    return rounded(moved, "mean", "variance")
+
+
+@query
+def user_aggregate_pick_any(load):
+    """The label of each auction and its bids, over sliding windows."""
+    bids = star.bids(load).withColumn("label", values.item_label(F.col("auction_id")))
+    return U.sliding_aggregate(bids, "ts", ["auction_id"], U.pick_any("label", "string"), "1 day", "6 hours")
+
+
+@query
+def user_aggregate_spread(load):
+    """Lowest and highest price of each ticker over sliding windows, which nothing can be taken out of."""
+    return U.sliding_aggregate(
+        star.trades(load), "time", ["ticker"], U.spread_of("price", "int"), "1 day", "2 hours"
+    )
+
+
 # Words
 
 
@@ -383,11 +416,11 @@ def trade_codec_roundtrip(load):
 
 @query
 def upsert_table(load):
-    """Clicks laid over views, by user: the latest click wins, else the latest view."""
+    """Clicks and errors laid over all other events, by user: the latest of them wins, else the latest other."""
     events = load("events").select("user_id", "event_id", "ts", "value", "event_type")
-    views = K.last_per_key(events.where(F.col("event_type") == "view"), ["user_id"], "event_id")
-    clicks = events.where(F.col("event_type") == "click")
-    return K.merge_last(views, clicks, ["user_id"], "event_id")
+    newer = F.coalesce(F.col("event_type").isin("click", "error"), F.lit(False))
+    old = K.last_per_key(events.where(~newer), ["user_id"], "event_id")
+    return K.merge_last(old, events.where(newer), ["user_id"], "event_id")
 
 
 # Latency and reports

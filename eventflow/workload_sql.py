@@ -291,6 +291,37 @@ sql(
     sliding("arrived", "arrival", "1 day", "6 hours", "user_id"),
 )
 
+_MOMENTS = """count(price) AS n, round(avg(price), 6) AS mean,
+    round((count(price) * sum(price::HUGEINT * price) - sum(price::HUGEINT) * sum(price))::DOUBLE
+          / (count(price) * count(price)), 6) AS variance"""
+
+
+def user_windows(view: str, ts: str, size: int, slide: int, key: str, values: str) -> str:
+    """Aggregates of rows copied into each of their windows; size and slide in hours."""
+    return f"""
+    SELECT s AS window_start, s + INTERVAL '{size} hours' AS window_end, {key}, {values}
+    FROM (SELECT *, unnest([time_bucket(INTERVAL '{slide} hours', {ts}, TIMESTAMP '1970-01-01')
+                            - to_hours(CAST({slide} * i AS INTEGER)) FOR i IN range({size // slide})]) AS s
+          FROM {view})
+    GROUP BY s, {key}"""
+
+
+sql("user_aggregate", "trade", f"SELECT ticker, {_MOMENTS} FROM trade GROUP BY ticker")
+sql("user_aggregate_sliding", "trade", user_windows("trade", "time", 24, 2, "ticker", _MOMENTS))
+sql(
+    "user_aggregate_spread",
+    "trade",
+    user_windows("trade", "time", 24, 2, "ticker", "min(price) AS low, max(price) AS high"),
+)
+sql(
+    "user_aggregate_pick_any",
+    "bid",
+    user_windows(
+        "bid", "ts", 24, 6, "auction_id",
+        "count(*) AS n, 'Auctioned Item #' || lpad(CAST(auction_id AS VARCHAR), 5, '0') AS value",
+    ),
+)
+
 sql("tokenize", "word", "SELECT doc_id, place, word FROM word")
 sql(
     ("word_count", "stream_word_count"),
@@ -388,8 +419,8 @@ sql(
     """
     SELECT user_id, event_id, ts, value, event_type FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id
-                                     ORDER BY event_type = 'view', event_id DESC) AS r
-        FROM events WHERE event_type IN ('view', 'click'))
+                                     ORDER BY coalesce(event_type IN ('click', 'error'), FALSE) DESC, event_id DESC) AS r
+        FROM events)
     WHERE r = 1""",
 )
 
