@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventflow.functions.values import item_label, ticker_of
 
@@ -42,6 +43,14 @@ def loader(spark: SparkSession, folder: str) -> Load:
     return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def end_rows(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+    """The rows that end a table, in its columns."""
+    given = [{**END_ROW, **row} for row in END_ROWS[name]]
+    rows = [tuple(str(row[f.name]) if f.name in row else None for f in schema) for row in given]
+    text = spark.createDataFrame(rows, ", ".join(f"`{f.name}` string" for f in schema))
+    return text.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
 def _cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 

@@ -20,8 +20,11 @@ from eventflow.session import checkpoint_root
 from eventflow.sinks import tables as K
 from eventflow.sources import generate as G
 from eventflow.sources import star
+from eventflow.sources.replay import Replay
 from eventflow.streaming import auctions as SA
+from eventflow.streaming import closing as SC
 from eventflow.streaming import running as SR
+from eventflow.streaming.carried import Carried
 
 Query = Callable[[SparkSession, str], DataFrame]
 Build = Callable[[star.Load], DataFrame]
@@ -68,12 +71,8 @@ class StreamedTables:
 
     def close(self) -> None:
         for name in self.ends:
-            schema = self.table(name).schema
-            given = [{**star.END_ROW, **row} for row in star.END_ROWS[name]]
-            rows = [tuple(str(row[f.name]) if f.name in row else None for f in schema) for row in given]
-            text = self.spark.createDataFrame(rows, ", ".join(f"`{f.name}` string" for f in schema))
-            typed = text.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-            typed.write.mode("append").parquet(f"{self.marks}/{name}")
+            rows = star.end_rows(self.spark, name, self.table(name).schema)
+            rows.write.mode("append").parquet(f"{self.marks}/{name}")
 
 
 def stream_query(*ends: str) -> Callable[[Build], Build]:
@@ -577,29 +576,67 @@ def stream_word_count(load):
     return SR.current_rows(counts, ["word"])
 
 
-def _stream_won(load):
-    return SA.winning_bids(
-        on_time(star.auctions(load), "orders"),
-        on_time(star.auction_bids(load), "lineitem"),
-        star.MAX_DURATION,
-    )
+# Orders and line items are in no order of time: replayed in ranges, state holds a range or two.
+RANGE = "900 days"
+# Bids on these come any time before their auction, so they wait as long as the table.
+ANY_TIME = "3660 days"
+
+
+def closing_query(build):
+    """Register a query over the run of winning bids that ``build`` asks for, of orders and line items replayed by time."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        load = star.loader(spark, folder)
+        return zone_less(build(lambda **options: replayed_bids(load, **options)))
+
+    QUERIES[build.__name__] = run
+    return build
+
 
+def replayed_bids(load: star.Load, follow=None, wait: str = ANY_TIME) -> Carried:
+    spark = load("orders").sparkSession
+    replay = Replay(spark, RANGE)
 
-@stream_query("orders", "lineitem")
-def stream_winning_bids(load):
-    best = SR.run_to_table(_stream_won(load), finish=load.close)
+    def given(name: str, rows: DataFrame, ts: str) -> DataFrame:
+        end = star.end_rows(spark, name, rows.schema)
+        return replay.add(name, rows, ts, end)
+
+    streams = {
+        "orders": given("orders", load("orders"), "o_orderdate"),
+        "lineitem": given("lineitem", load("lineitem"), "l_shipdate"),
+    }
+    auctions = W.with_event_time(star.auctions(streams.__getitem__), "ts", RANGE)
+    bids = W.with_event_time(star.auction_bids(streams.__getitem__), "ts", RANGE)
+    return SC.winning_bids(auctions, bids, wait, follow).run(replay.feed())
+
+
+@closing_query
+def stream_winning_bids(closing):
+    best = closing().table("won", SC.WON)
     return best.select("auction_id", "seller_id", "category", "expires", "price")
 
 
-@stream_query("orders", "lineitem")
-def stream_q04_average_price_for_category(load):
-    averages = SR.run_to_table(
-        SA.q04_average_price_for_category(_stream_won(load)), finish=load.close
-    )
+@closing_query
+def stream_q04_average_price_for_category(closing):
+    averages = closing(follow=SC.rolling_averages).table("rolling", SC.ROLLING)
     return rounded(averages, "average_price")
 
 
-@stream_query("orders", "lineitem")
-def stream_q06_avg_selling_price(load):
-    averages = SR.run_to_table(SA.q06_avg_selling_price(_stream_won(load)), finish=load.close)
+@closing_query
+def stream_q06_avg_selling_price(closing):
+    averages = closing(follow=SC.last_prices(10)).table("last", SC.LAST)
     return rounded(averages, "average_price")
+
+
+@closing_query
+def stream_orphan_bids(closing):
+    """Bids that no auction claims within the longest duration before its start and after its end, and when they go."""
+    run = closing(wait=star.MAX_DURATION)
+    return run.table("orphans", SC.ORPHANS).select("auction_id", "bid_ts", "price", "removed_after")
+
+
+@closing_query
+def stream_winning_bids_within(closing):
+    """Winning bids where bids count from the longest duration before the start: state holds a range or two."""
+    best = closing(wait=star.MAX_DURATION).table("won", SC.WON)
+    return best.select("auction_id", "seller_id", "category", "expires", "price")

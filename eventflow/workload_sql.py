@@ -529,3 +529,23 @@ sql(
            a - (high - high % 3600000) AS delay_ms, a - (high - high % 3600000) > 7200000 AS behind
     FROM (SELECT *, max(t) OVER (ORDER BY a, t) AS high FROM arrived_ms)""",
 )
+
+_CLAIMED = "ts BETWEEN a.ts - INTERVAL '91 days' AND expires + INTERVAL '91 days'"
+sql(
+    "stream_orphan_bids",
+    "auction auction_bid",
+    f"""
+    SELECT auction_id, b.ts AS bid_ts, price, b.ts + INTERVAL '91 days' AS removed_after
+    FROM auction_bid b LEFT JOIN auction a ON a.id = b.auction_id AND b.{_CLAIMED}
+    WHERE a.id IS NULL""",
+)
+sql(
+    "stream_winning_bids_within",
+    "auction auction_bid",
+    f"""
+    SELECT auction_id, seller_id, category, expires, price FROM (
+        SELECT a.id AS auction_id, seller_id, category, expires, b.price,
+               row_number() OVER (PARTITION BY a.id ORDER BY b.price DESC, b.ts) AS r
+        FROM auction a JOIN auction_bid b ON a.id = b.auction_id AND b.ts <= a.expires AND b.{_CLAIMED})
+    WHERE r = 1""",
+)
