@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from eventflow.sources.small import names_in, read_text, write_text
+
 
 def run_path(base: str, run_id: int | None = None) -> str:
     """A path of its own for each run: the base and the current ms, or a given run number."""
@@ -51,13 +53,19 @@ def write_per_batch(
     """One folder ``<prefix>/t-<ms>`` per micro-batch.
 
     ``batch_millis`` gives the time of a batch number. It should depend on the
-    number alone, so that a repeated batch overwrites its own folder; without it
-    the clock is used.
+    number alone, so that a repeated batch overwrites its own folder. Without it
+    the clock is read once per batch and written down beside the checkpoint first.
     """
     lines = df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns]).alias("value"))
 
+    def first_time(spark: SparkSession, batch_id: int) -> int:
+        folder = f"{checkpoint}-times"
+        if str(batch_id) not in names_in(spark, folder):
+            write_text(spark, f"{folder}/{batch_id}", str(int(time.time() * 1000)))
+        return int(read_text(spark, f"{folder}/{batch_id}"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        millis = batch_millis(batch_id) if batch_millis else int(time.time() * 1000)
+        millis = batch_millis(batch_id) if batch_millis else first_time(batch.sparkSession, batch_id)
         batch.write.mode("overwrite").text(f"{prefix}/t-{millis}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

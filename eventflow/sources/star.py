@@ -23,6 +23,9 @@ LAGS = {"events": "62 days", "orders": "3660 days", "lineitem": "3660 days", "cu
 # Rows that end a table read as a stream: later than all others by more than any lag.
 END_ROW = {
     "ts": "2200-01-01",
+    "event_id": -1,
+    "user_id": 0,
+    "value": 0,
     "o_orderdate": "2200-01-01",
     "l_shipdate": "2200-01-01",
     "o_orderkey": -1,

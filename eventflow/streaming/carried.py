@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventflow.session import checkpoint_root
+from eventflow.sources.small import delete, names_in, read_text, write_text
 from eventflow.streaming.running import start
 
 
@@ -65,13 +66,13 @@ class Batch:
 
     def note(self, name: str, values: dict[str, int]) -> None:
         """Leave a few numbers, in a file that only the driver writes and reads."""
-        _write_text(self.spark, f"{self._path('notes', name, self.number)}.json", json.dumps(values))
+        write_text(self.spark, f"{self._path('notes', name, self.number)}.json", json.dumps(values))
 
     def noted(self, name: str) -> dict[str, int]:
         """The numbers of the micro-batch before; none before the first."""
         if self.number == 0:
             return {}
-        return json.loads(_read_text(self.spark, f"{self._path('notes', name, self.number - 1)}.json"))
+        return json.loads(read_text(self.spark, f"{self._path('notes', name, self.number - 1)}.json"))
 
     def clock(
         self, lags: dict[str, int], ts: str = "ts", kind: str | None = "kind"
@@ -116,10 +117,10 @@ class Carried:
         rows.write.mode("overwrite").parquet(path)
         self.step(Batch(self.spark, self.root, number, self.spark.read.schema(rows.schema).parquet(path)))
         for old in (f"input/batch_id={number - 1}", *self._carried(number - 2)):
-            _delete(self.spark, f"{self.root}/{old}")
+            delete(self.spark, f"{self.root}/{old}")
 
     def _carried(self, number: int) -> list[str]:
-        return [f"carried/{n}/batch_id={number}" for n in _names(self.spark, f"{self.root}/carried")]
+        return [f"carried/{n}/batch_id={number}" for n in names_in(self.spark, f"{self.root}/carried")]
 
     def run(self, feed: Iterable[None] | None = None, finish: Callable[[], None] | None = None) -> Carried:
         """Work off all input there is.
@@ -151,10 +152,10 @@ class Carried:
 
     def notes(self, name: str) -> dict[int, dict[str, int]]:
         """The numbers that each micro-batch left under a name."""
-        found = [n for n in _names(self.spark, f"{self.root}/notes/{name}") if n.endswith(".json") and n[0] != "."]
+        found = [n for n in names_in(self.spark, f"{self.root}/notes/{name}") if n.endswith(".json") and n[0] != "."]
         return {
             int(n.removeprefix("batch_id=").removesuffix(".json")): json.loads(
-                _read_text(self.spark, f"{self.root}/notes/{name}/{n}")
+                read_text(self.spark, f"{self.root}/notes/{name}/{n}")
             )
             for n in found
         }
@@ -171,33 +172,3 @@ def split_late(rows: DataFrame, mark: int | None, ts: str = "ts") -> tuple[DataF
 def lag_of(stream: DataFrame, ts: str = "ts") -> int:
     """The lag of a stream's watermark (see ``with_event_time``), in microseconds."""
     return int(stream.schema[ts].metadata.get("spark.watermarkDelayMs", 0)) * 1000
-
-
-def _files(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    place, files = _files(spark, path)
-    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    place, files = _files(spark, path)
-    out = files.create(place, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    place, files = _files(spark, path)
-    opened = files.open(place)
-    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
-    opened.close()
-    return text
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place, files = _files(spark, path)
-    files.delete(place, True)

@@ -17,12 +17,14 @@ from eventflow.operators import shaping as S
 from eventflow.operators import text as T
 from eventflow.operators import windows as W
 from eventflow.session import checkpoint_root
+from eventflow.sinks import files
 from eventflow.sinks import tables as K
 from eventflow.sources import generate as G
-from eventflow.sources import star
+from eventflow.sources import readers, star
 from eventflow.sources.replay import Replay
 from eventflow.streaming import auctions as SA
 from eventflow.streaming import closing as SC
+from eventflow.streaming import measuring as SM
 from eventflow.streaming import running as SR
 from eventflow.streaming.carried import Carried
 
@@ -576,6 +578,109 @@ def stream_word_count(load):
     return SR.current_rows(counts, ["word"])
 
 
+# Messages to counts to a latency report; the clock that stamps results stands still.
+REPORT_MICROS = 1_717_200_000_000_000  # 2024-06-01
+
+
+def _monitored(load):
+    messages = codec.encode_trade(star.trades(load))
+    trades = on_time(codec.decode_trade(messages), "events", "time")
+    counts = SM.trade_monitor(trades, "1 day", "6 hours", "AA")
+    arrivals = SM.measure(counts, "window_end", clock=lambda _: REPORT_MICROS, finish=load.close)
+    return L.latency_log(arrivals, "ts", "arrival")
+
+
+@stream_query("events")
+def stream_trade_monitor(load):
+    return _monitored(load)
+
+
+@stream_query("events")
+def stream_trade_monitor_profile(load):
+    return rounded(L.latency_profile(_monitored(load), _WARMUP, _TOTAL), "percentile", "inverse")
+
+
+# Through the file sinks and back through the sources
+
+
+def _new_path(load, name: str) -> str:
+    return f"{checkpoint_root(load('events').sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def text_log_roundtrip(load):
+    """Log lines written as text files and read as a latency log."""
+    path, spark = _new_path(load, "log"), load("events").sparkSession
+    files.write_lines(star.log_lines(load), path)
+    stats = L.latency_log_stats(readers.read_latency_log(spark, path), "2024-01-01")
+    return rounded(zone_less(stats), "avg_ms")
+
+
+@query
+def tsv_word_count(load):
+    """Word counts written as tab-separated lines and read again."""
+    path, spark = _new_path(load, "words"), load("events").sparkSession
+    files.write_tsv(T.word_count(star.lines(load)).select("word", "n"), path)
+    parts = F.split("value", "\t")
+    return readers.read_lines(spark, path).select(parts[0].alias("word"), parts[1].cast("bigint").alias("n"))
+
+
+@query
+def csv_latency_log(load):
+    """A latency log written as comma-separated files and read again."""
+    path, spark = _new_path(load, "csv"), load("events").sparkSession
+    files.write_csv(L.latency_log(star.arrivals(load), "ts", "arrival"), path)
+    return spark.read.schema("elapsed_ms bigint, latency_ms bigint").csv(path)
+
+
+@stream_query()
+def stream_batch_folders(load):
+    """A folder of lines per micro-batch, read back as a latency log."""
+    path = _new_path(load, "folders")
+    spark = load("events").sparkSession
+    events = load("events").select("user_id", "event_id", F.round("value").cast("bigint").alias("latency"))
+    lines = events.select(F.format_string("(%d,%d,%d)", "user_id", "event_id", "latency").alias("value"))
+    files.write_per_batch(lines, f"{path}/run", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stats = L.folder_log_stats(readers.read_latency_log(spark, f"{path}/run", "folders"))
+    return stats.agg(F.sum("n").alias("n"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"))
+
+
+@stream_query()
+def stream_fan_out(load):
+    """One stream written to two sinks, text lines and a table, and both read back."""
+    path = _new_path(load, "fan")
+    spark = load("events").sparkSession
+    bids = star.bids(load)
+
+    def as_lines(batch: DataFrame, number: int) -> None:
+        text = F.concat_ws(",", "id", "auction_id", "price")
+        batch.select(text.alias("value")).write.mode("overwrite").text(f"{path}/lines/{number}")
+
+    def as_table(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/{number}")
+
+    writer = files.fan_out(bids, f"{path}/checkpoint", as_lines, as_table)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    fields = F.split("value", ",")
+    lines = readers.read_lines(spark, f"{path}/lines/*").select(
+        F.lit("lines").alias("sink"), *[fields[i].cast("bigint").alias(n) for i, n in enumerate(("id", "auction_id", "price"))]
+    )
+    table = spark.read.parquet(f"{path}/table/*").select(F.lit("table").alias("sink"), "id", "auction_id", "price")
+    return lines.unionByName(table)
+
+
+@query
+def keyed_table_in_batches(load):
+    """All events written into a keyed table in four batches by rising number, and read back."""
+    path, spark = _new_path(load, "keyed"), load("events").sparkSession
+    events = load("events").select("user_id", "event_id", "ts", "value", "event_type")
+    most = events.agg(F.max("event_id")).scalar()
+    quarter = F.coalesce((F.col("event_id") * 4 / (most + 1)).cast("int"), F.lit(0))
+    for number in range(4):
+        K.upsert_table(events.where(quarter == number), path, ["user_id"], "event_id", rewrite=number == 2)
+    return readers.read_table(spark, path, ["user_id"])
+
+
 # Orders and line items are in no order of time: replayed in ranges, state holds a range or two.
 RANGE = "900 days"
 # Bids on these come any time before their auction, so they wait as long as the table.

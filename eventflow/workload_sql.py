@@ -463,6 +463,7 @@ sql(
            CASE WHEN p < 100 THEN round(100.0 / (100.0 - p), 6) END AS inverse
     FROM shown""",
 )
+_MONITORED_PROFILE = ORACLES["latency_profile"].split("measured AS", 1)[1].replace("FROM latency", "FROM monitored")
 sql("latency_alerts", "latency", "SELECT * FROM latency WHERE latency_ms >= 600000")
 sql(
     "record_latency",
@@ -549,3 +550,35 @@ sql(
         FROM auction a JOIN auction_bid b ON a.id = b.auction_id AND b.ts <= a.expires AND b.{_CLAIMED})
     WHERE r = 1""",
 )
+
+VIEWS["monitored"] = f"""
+    SELECT epoch_ms(window_end) - min(epoch_ms(window_end)) OVER () AS elapsed_ms,
+           1717200000000 - epoch_ms(window_end) AS latency_ms
+    FROM (SELECT DISTINCT window_end FROM (
+        {sliding("trade", "time", "1 day", "6 hours", "ticker", "WHERE ticker LIKE '%AA'")}))"""
+NEEDS["monitored"] = ["trade"]
+sql("stream_trade_monitor", "monitored", "SELECT * FROM monitored")
+sql("stream_trade_monitor_profile", "monitored", ", measured AS" + _MONITORED_PROFILE)
+ORACLES["text_log_roundtrip"] = ORACLES["latency_log_stats"]
+ORACLES["tsv_word_count"] = ORACLES["word_count"]
+ORACLES["csv_latency_log"] = ORACLES["latency_log"]
+sql(
+    "stream_batch_folders",
+    "",
+    """
+    SELECT count(*) AS n, min(CAST(round(value) AS BIGINT)) AS min_ms, max(CAST(round(value) AS BIGINT)) AS max_ms
+    FROM events""",
+)
+sql(
+    "stream_fan_out",
+    "bid",
+    "SELECT sink, id, auction_id, price FROM bid, (SELECT unnest(['lines', 'table']) AS sink)",
+)
+sql(
+    "keyed_table_in_batches",
+    "",
+    """
+    SELECT user_id, event_id, ts, value, event_type FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+    WHERE r = 1""",
+)

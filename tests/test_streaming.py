@@ -376,3 +376,34 @@ def test_trade_monitor_from_messages_to_report(spark, tmp_path):
     assert len(log) >= 1 and all(int(line.split(",")[1]) >= 0 for line in log)
     back = L.parse_profile(spark.read.text(str(tmp_path / "report/histogram")))
     assert back.count() >= 1
+
+
+def test_latency_counts_the_work_of_a_batch(spark, tmp_path):
+    """A column that takes a second to compute is in the latency, though the log does not read it."""
+    import time
+
+    from eventflow.streaming import measuring as M
+
+    @F.udf("long")
+    def slow(n):
+        time.sleep(1.0)
+        return n
+
+    spark.range(1).select(F.lit(at(5)).alias("ts"), "id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, id long").parquet(str(tmp_path / "in"))
+    began = time.time()
+    arrivals = M.measure(stream.withColumn("worked", slow("id")), "ts", folder=str(tmp_path / "out")).collect()
+    assert len(arrivals) == 1
+    assert arrivals[0].arrival.timestamp() - began > 1.0
+    assert spark.read.parquet(str(tmp_path / "out/rows")).first().worked == 0
+    fixed = M.measure(stream, "ts", folder=str(tmp_path / "fixed"), clock=lambda n: 7_000_000 + n).collect()
+    assert [r.arrival.timestamp() for r in fixed] == [7.0]
+
+
+def test_a_batch_folder_keeps_its_time_when_repeated(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run has lost its checkpoint and does batch 0 again
+        writer = files.write_per_batch(stream, str(tmp_path / "out/run"), str(tmp_path / "c"))
+        writer.option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start().awaitTermination()
+    assert len(list((tmp_path / "out/run").glob("t-*"))) == 1
