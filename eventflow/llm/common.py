@@ -156,10 +156,11 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, digest: Column) -> DataFrame:
     def named(value: Column) -> Column:
         return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), value)
 
-    wanted = keepers.select(named(F.col("digest")).alias("_wanted")).distinct()
-    met = docs.withColumn("_named", named(digest)).join(
-        wanted, F.col("_named") == F.col("_wanted"), "left_semi"
+    wanted = keepers.select(named(F.col("digest")).alias("__keep_wanted")).distinct()
+    met = docs.withColumn("__keep_named", named(digest)).join(
+        wanted, F.col("__keep_named") == F.col("__keep_wanted"), "left_semi"
     )
-    # Partitioned as the join is: numbering moves nothing again.
-    number = F.row_number().over(Window.partitionBy("_named").orderBy("_named"))
-    return met.withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    # Partitioned as the join is: numbering moves nothing again. Rows that differ elsewhere stand in one order.
+    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    number = F.row_number().over(Window.partitionBy("__keep_named").orderBy(order))
+    return met.withColumn("__keep_number", number).where("__keep_number = 1").select(*docs.columns)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import count_words, preceding_sum, repeated, words_of
+from eventflow.llm.common import count_words, partitions, preceding_sum, repeated, words_of
 from eventflow.session import pin
 
 MOST_SOURCES = 100_000
@@ -133,6 +133,7 @@ class Mix:
             (shard, marks[i], blocks[i], first, first + n, found[i].source)
             for shard, i, first, n in draw_shards(quotas, shard_slots, seed)
         ]
+        self._n_slots = sum(quotas)
         self._drawn = spark.createDataFrame(
             drawn, "shard int, source_no long, blocks long, first long, end long, source string"
         )
@@ -141,7 +142,9 @@ class Mix:
         """``shard, source, t, block``: what each slot of each output shard takes."""
         step = _RANGE_SLOTS
         ranges = self._drawn.withColumn("low", F.explode(F.expr(f"sequence(first, end - 1, {step}L)")))
-        spread = ranges.repartition(F.col("low"), F.col("source_no"), F.col("shard"))
+        # A number of its own: the ranges are tiny before they are laid out, and would be merged into one task.
+        number = max(partitions(ranges.sparkSession), -(-self._n_slots // (4 * step)))
+        spread = ranges.repartition(number, F.col("low"), F.col("source_no"), F.col("shard"))
         every = spread.withColumn("t", F.explode(F.expr(f"sequence(low, least(low + {step}, end) - 1)")))
         return _walked(every).select("shard", "source", "t", "block")
 
@@ -176,8 +179,8 @@ class Mix:
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"),
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
         )
-        number = F.row_number().over(Window.partitionBy("_same").orderBy("_same")) - 1
-        rows = docs.withColumn("_same", key).withColumn("_row", F.concat_ws(":", number, "_same"))
+        number = F.row_number().over(Window.partitionBy("__mix_same").orderBy("__mix_same")) - 1
+        rows = docs.withColumn("__mix_same", key).withColumn("__mix_row", F.concat_ws(":", number, "__mix_same"))
         lists = (
             self._times()
             .select(
@@ -187,22 +190,22 @@ class Mix:
                     F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                     F.col("crc").cast("string"),
                     F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
-                ).alias("_of"),
+                ).alias("__mix_of"),
                 F.struct("first", "words", "times").alias("part"),
             )
-            .groupBy("_of")
-            .agg(F.sort_array(F.collect_list("part")).alias("_parts"))  # a document's own blocks
+            .groupBy("__mix_of")
+            .agg(F.sort_array(F.collect_list("part")).alias("__mix_parts"))  # a document's own blocks
         )
-        met = rows.join(lists, F.col("_row") == F.col("_of")).withColumn("_words", words_of(F.col("text")))
-        most = F.array_max(F.transform("_parts", lambda p: p["times"]))
-        each = met.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-        used = F.filter("_parts", lambda p: p["times"] >= F.col("_c"))
+        met = rows.join(lists, F.col("__mix_row") == F.col("__mix_of")).withColumn("__mix_words", words_of(F.col("text")))
+        most = F.array_max(F.transform("__mix_parts", lambda p: p["times"]))
+        each = met.withColumn("__mix_c", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+        used = F.filter("__mix_parts", lambda p: p["times"] >= F.col("__mix_c"))
         words = F.flatten(
-            F.transform(used, lambda p: F.slice(F.col("_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))
+            F.transform(used, lambda p: F.slice(F.col("__mix_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))
         )
-        chosen = each.withColumn("_chosen", words)
-        whole = F.size("_chosen") == F.size("_words")
-        text = F.when(whole, F.col("text")).otherwise(F.array_join("_chosen", " "))
+        chosen = each.withColumn("__mix_chosen", words)
+        whole = F.size("__mix_chosen") == F.size("__mix_words")
+        text = F.when(whole, F.col("text")).otherwise(F.array_join("__mix_chosen", " "))
         out = chosen.withColumn("text", text)
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

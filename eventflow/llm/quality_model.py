@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import pin_python, ship
+from eventflow.session import pin
 
 BITS = 18
 MOST_RATED = 6_000
@@ -184,14 +185,19 @@ def train(rated: DataFrame, most: int = MOST_RATED) -> OrdinalModel:
     return fit_ordinal(rows, found["grade"].to_numpy().astype(np.int64))
 
 
-def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """Add ``score``, ``expected_grade`` and ``tail_probability`` (of the best grade) to every row."""
+def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str = "") -> DataFrame:
+    """Add ``score``, ``expected_grade`` and ``tail_probability`` (of the best grade) to every row.
+
+    ``prefix`` goes before these names; columns of ``docs`` that have them already are replaced. A null
+    text is empty. Repeated rows stay; an empty table gives none.
+    """
     ship(docs.sparkSession)
-    docs = docs.drop("score", "expected_grade", "tail_probability")
+    added = [f"{prefix}{n}" for n in ("score", "expected_grade", "tail_probability")]
+    docs = docs.drop(*added)
     weights = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights, whatever the data
     best = len(model.thresholds)
     n = docs.columns.index(text)
-    names = [*docs.columns, "score", "expected_grade", "tail_probability"]
+    names = [*docs.columns, *added]
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = weights.value
@@ -210,15 +216,24 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
             use = np.array([len(x) > 0 for x in lists], bool)
             of, slot = _pairs(coded, lists, use)
             score = np.bincount(of, m.weights[slot], batch.num_rows)
-            more = [score, m.expected(score), m.at_least(score, best)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], names)
+            more = [score, m.expected(score), m.at_least(score, best)]  # whole numbers for a model without thresholds
+            doubles = [pa.array(np.broadcast_to(x, score.shape).astype(float)) for x in more]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *doubles], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(graded, f"{fields}, score double, expected_grade double, tail_probability double")
+    return docs.mapInArrow(graded, ", ".join([fields, *(f"`{n}` double" for n in added)]))
 
 
-def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Graded ratings from two flags: 0 toxic, 1 of low quality, 2 neither. Unrated rows are left out."""
+def rated(docs: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> DataFrame:
+    """Graded ratings from two flags: 0 toxic, 1 of low quality, 2 neither. Unrated rows are left out.
+
+    Of the ids that have both a label and a document, the ``most`` with the least hash: the model is
+    fitted on those. Only ids are shuffled to find them; the texts are read beside a broadcast of
+    these few. A document with several rows counts with each.
+    """
     flags = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     graded_ = F.when(F.col("t") == 1, 0).when(F.col("q") == 0, 1).otherwise(2)
-    return docs.select("doc_id", "text").join(flags, "doc_id").withColumn("grade", graded_)
+    there = docs.select(F.col("doc_id").alias("has"))
+    met = flags.join(there, F.col("doc_id") == F.col("has"), "left_semi")
+    drawn = pin(met.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("grade", graded_))
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``most`` rows

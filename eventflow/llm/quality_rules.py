@@ -4,19 +4,25 @@ Words and pairs of neighbouring words, in lower case, are hashed into ``BUCKETS`
 buckets. Two multinomials over the buckets, of trusted texts and of the whole
 corpus, give each bucket a log-likelihood ratio; a text's score is the mean over
 its n-grams. Every text is compared with one threshold. Built-in expressions only.
+
+A bucket's ratio is ln((g + p) / (e + p)): g is its count in trusted texts, e what these would
+have of it if they were like the corpus, and p = ``PRIOR``. A rare n-gram tells nothing, and the ratio
+of a frequent one does not change with the size of the corpus, so neither does the verdict.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import words_of
+from eventflow.session import pin
 
-BUCKETS = 1 << 14
-MIN_SCORE = -0.25
+BUCKETS = 1 << 18
+PRIOR = 5.0
+MIN_SCORE = -0.15
+MOST_TRUSTED = 100_000  # labelled rows that stand for trusted text
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
@@ -97,10 +103,11 @@ def _bucket(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[float]:
-    """ln(p trusted / p corpus) of every bucket, with one added to each count.
+def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[int]:
+    """The log ratio of every bucket in thousandths; 0 for one that no text has.
 
-    Counts are over all rows and whole texts. ``BUCKETS`` numbers come to the driver.
+    Counts are over all rows and whole texts, repeated rows as often as they are there. Rows whose
+    ``trusted`` is null are not. Without trusted rows, or without any, all ratios are 0. ``BUCKETS`` numbers at most come to the driver.
     """
     low = docs.select(
         F.coalesce(trusted, F.lit(False)).cast("long").alias("good"), words_of(F.lower(text)).alias("a")
@@ -110,47 +117,52 @@ def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[flo
     buckets = pairs.select(
         "good", F.explode(F.array(_bucket(a), F.when(b.isNotNull(), _bucket(a, b)))).alias("bucket")
     )
-    counts = buckets.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    shares = counts.select(
-        "bucket",
-        (F.log(F.col("good") + F.lit(1.0)) - F.log(F.col("n") + F.lit(1.0))).alias("ratio"),
-        "n",
-        "good",
-    ).collect()
-    every, good = sum(r.n for r in shares), sum(r.good for r in shares)
-    base = [0.0] * BUCKETS
-    for r in shares:
-        base[r.bucket] = r.ratio
-    shift = math.log((every + BUCKETS) / (good + BUCKETS))
-    return [x + shift for x in base]
-
-
-def score(words: Column, ratios: list[float]) -> Column:
+    counts = (
+        buckets.where("bucket is not null")
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+        .toArrow()
+    )
+    bucket, n, good = (counts[c].to_numpy() for c in ("bucket", "n", "good"))
+    like_corpus = n * (good.sum() / max(1, n.sum()))
+    out = np.zeros(BUCKETS)
+    out[bucket] = np.log((good + PRIOR) / (like_corpus + PRIOR))
+    return np.rint(out * 1000).astype(int).tolist()
+
+
+def score(words: Column, ratios: list[int]) -> Column:
     """The mean log ratio of a text's n-grams, given its words in lower case; null for a text without words."""
     # One constant array, parsed once: its length is fixed by BUCKETS.
-    table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
     each = F.transform(
         words,
         lambda w, i: F.get(table, _bucket(w))
-        + F.when(i + 1 < F.size(words), F.get(table, _bucket(w, F.get(words, i + 1)))).otherwise(0.0),
+        + F.when(i + 1 < F.size(words), F.get(table, _bucket(w, F.get(words, i + 1)))).otherwise(0),
     )
-    total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-    return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1))
+    total = F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.when(F.size(words) > 0, total / (1000 * (2 * F.size(words) - 1)))
 
 
 def judge(
-    docs: DataFrame, ratios: list[float], least: float = MIN_SCORE, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, ratios: list[int], least: float = MIN_SCORE, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``base_rules`` without words, plus ``score`` and ``kept``: base passed and score at least ``least``."""
+    """``base_rules`` without words, plus ``score`` and ``kept``: base passed and score at least ``least``.
+
+    A row for each of ``docs``, whose other columns are left out; a score equal to ``least`` is kept.
+    The result is written once, so that a filter on it does not work out the counts again for each word.
+    """
     counted = base_rules(docs, key, text).withColumn("_low", F.transform("words", lambda w: F.lower(w)))
     scored = counted.withColumn("score", score(F.col("_low"), ratios)).drop("words", "_low")
     good = ~F.col("base_failed") & (F.coalesce("score", F.lit(float("-inf"))) >= least)
-    return scored.withColumn("kept", good)
+    return pin(scored.withColumn("kept", good))
+
 
+def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
+    """Ids that every rating calls good and none toxic: at most ``most``, those of the least hash.
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids that every rating calls good and none toxic."""
+    The trusted multinomial is fitted on these, so that their list may be broadcast to the texts.
+    """
     flags = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return flags.where((F.col("q") == 1) & (F.col("t") == 0)).select(
-        F.col("doc_id").alias("rated_id"), F.lit(True).alias("trusted")
-    )
+    good = flags.where((F.col("q") == 1) & (F.col("t") == 0) & F.col("doc_id").isNotNull())
+    drawn = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return pin(drawn.select(F.col("doc_id").alias("rated_id"), F.lit(True).alias("trusted")))

@@ -73,7 +73,7 @@ def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op4_gram_ratio_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     trusted = quality_rules.trusted_ids(table(spark, folder, "labels"))
-    marked = docs.join(trusted, F.col("doc_id") == F.col("rated_id"), "left")
+    marked = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("rated_id"), "left")  # MOST_TRUSTED rows
     ratios = quality_rules.log_ratios(marked, F.col("trusted"))
     return quality_rules.judge(docs, ratios)
 

@@ -97,6 +97,51 @@ def test_rules_of_odd_rows(odd, odd_rows, none):
     assert quality_rules.judge(none, quality_rules.log_ratios(none, F.lit(True))).count() == 0
 
 
+def test_scores_against_counted_grams(spark):
+    """Ratios and scores from a count of the n-grams themselves, on texts with few of them."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("aa Bb cc dd ee ff gg".split(), k=rng.randint(0, 70))) for _ in range(60)] + [None]
+    rows = [(i, t, "x", -1.0) for i, t in enumerate(texts)] * 2
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, words string, score double")
+    good = {i for i in range(0, 60, 3)}
+
+    def grams(text):
+        low = (text or "").lower().split()
+        return [*low, *zip(low, low[1:], strict=False)]
+
+    n, g = Counter(), Counter()
+    for i, text, *_ in rows:
+        n.update(grams(text))
+        g.update(grams(text) if i in good else [])
+    share = sum(g.values()) / sum(n.values())
+    prior = quality_rules.PRIOR
+    ratio = {x: np.log((g[x] + prior) / (n[x] * share + prior)) for x in n}
+    got = quality_rules.judge(table, quality_rules.log_ratios(table, F.col("doc_id") % 3 == 0), -0.01).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [ratio[x] for x in grams(texts[r.doc_id])]
+        assert (r.score is None) if not mine else r.score == pytest.approx(sum(mine) / len(mine), abs=6e-4)
+        assert r.kept == (not r.base_failed and r.score >= -0.01)
+
+
+def test_a_filter_on_the_verdict_ends(odd):
+    judged = quality_rules.judge(odd, quality_rules.log_ratios(odd, F.col("doc_id") == 4))
+    assert judged.where("kept").count() == sum(r.kept for r in judged.collect())
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_rules_reject_bad_rows_at_any_size(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    flags = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    judged = QUERIES["op4_gram_ratio_rules"](spark, folder).where("not base_failed").join(flags, "doc_id")
+    shares = judged.agg(
+        F.avg(F.when((F.col("q") == 0) & (F.col("t") == 0), F.col("kept").cast("int"))).alias("bad"),
+        F.avg(F.when((F.col("q") == 1) & (F.col("t") == 0), F.col("kept").cast("int"))).alias("good"),
+    ).first()
+    assert shares.bad <= 0.1
+    assert shares.good >= 0.97
+
+
 def test_classifier_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{folder}/documents.parquet")
@@ -286,5 +331,13 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, none):
             assert out.count() <= 40 or name == "best_fit_packing"  # which cuts the long texts
             if name in ("exact_dedup", "near_dedup"):
                 assert out.columns == table.columns
+    clashing = odd.withColumns({n: F.lit(-1.0) for n in ("score", "tail_probability", "_number", "_row", "grade", "q")})
+    for table in (clashing, none):
+        out = corpus_pipeline.quality_classifier(spark, table, sf_dir)
+        assert out.columns == table.columns
+        rows = out.collect()
+        assert all(r.score == r.tail_probability == r._number == -1.0 for r in rows if table is clashing)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.source_mix):
+        assert all(r._row == r.q == -1.0 for r in stage(spark, clashing, sf_dir).collect())
     kept = corpus_pipeline.exact_dedup(spark, odd, sf_dir).collect()
     assert sum(r.text == "same row" for r in kept) == 1
