@@ -24,7 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
     """Drop what the ordinal model rejects: rows with too small a chance of the best grade."""
     labels = queries.table(spark, folder, "labels")
     model = quality_model.train(quality_model.rated(docs, labels))
-    good = quality_model.grade(docs, model).where(F.col("tail_probability") >= queries.MIN_TAIL)
+    graded = quality_model.grade(docs, model, prefix="__graded_")
+    good = graded.where(F.col("__graded_tail_probability") >= queries.MIN_TAIL)
     return pin_python(good.select(*docs.columns))
 
 
