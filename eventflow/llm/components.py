@@ -35,17 +35,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (``u``, ``v``) but the roots; the root is the least.
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every pair leads from a node that has no other to a root, in one pass instead of another round."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    open_ = F.count_if(F.expr("child > 1 or (child = 1 and root = 1)"))
+    return roles.agg(open_.alias("n")).first()["n"] == 0
+
 
-    Ends when a round changes nothing: every pair then leads to a root.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (``u``, ``v``) but the roots; the root is the least."""
     now = pin(edges.where("u <> v").select("u", "v").distinct())
-    before = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
         wide = pin(_large_star(now).where("u <> v").distinct())
         now = pin(_small_star(wide).where("u <> v").distinct())
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
