@@ -4,9 +4,9 @@ A text's k-mers are its runs of five words, told apart by how often they came
 before. For each of ``TABLES`` permutations the two least k-mers, in text order,
 give one number: texts that differ by few edits share most of these. A bucket is
 what agrees in a number. Its members are compared with its most popular member;
-then every pair of a bucket that is not in one class yet is compared, but for those
-whose rarest k-mers show that they cannot be similar (see ``_rest``). A link can only
-be missed where two texts share no number; the README has the recall.
+then with more and more members, turn by turn, until each pair of a bucket is in one
+class, was compared, or cannot be similar by its rarest k-mers (see ``_rest``). A link
+can only be missed where two texts share no number; the README has the recall.
 
 Two texts are linked if an alignment of their k-mers, in order, matches m with
 m / (a + b - m) >= ``SIMILARITY``. Texts of fewer than five words are one k-mer;
@@ -27,14 +27,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import pin_python, ship
-from eventflow.llm.components import components
+from eventflow.llm.components import components, joined, tasks_for
 from eventflow.session import pin
 
 WORDS = 5
 TABLES = 12
 SIMILARITY = 0.8
 PART_PAIRS = 500_000  # aligned at once
-MOST_PARTS = 16
+PAIRS_PER_TASK = 2_000
+LEAST_ALIGNING = 24
+GROWTH = 16  # members of a key that have had their turn, from one turn to the next
+TEXTS_PER_TASK = 10_000
 BLOCK_BITS = 8192
 
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -173,18 +176,17 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.groupBy("digest").agg(
         F.min("doc_id").alias("least_id"), *[F.max(c).alias(c) for c in _NAMES]
     )
-    return rows.select("doc_id", "digest"), pin(
-        texts.select(
-            F.monotonically_increasing_id().alias("node"), F.xxhash64("digest").alias("tie"), "digest", "least_id", *_NAMES
-        )
+    named = texts.select(
+        F.monotonically_increasing_id().alias("node"), F.xxhash64("digest").alias("tie"), "digest", "least_id", *_NAMES
     )
+    return rows.select("doc_id", "digest"), pin(named.coalesce(tasks_for(rows.count())))
 
 
 _NAMES = [f"s{i}" for i in range(TABLES)]
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``u, v``) whose texts are similar."""
+def _aligned(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Those of about ``n`` ``pairs`` (``u, v``) whose texts are similar."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +197,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     other = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(one, "u").join(other, "v").select("u", "v", "text_u", "text_v")
+    both = both.coalesce(max(LEAST_ALIGNING, -(-n // PAIRS_PER_TASK)))
     return pin_python(both.mapInArrow(check, "u bigint, v bigint"))
 
 
@@ -206,25 +209,27 @@ def _heads(keyed: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "rank").alias("head"))
         .where("n > 1")
         .select(F.col("key").alias("of"), "head")
+        .coalesce(tasks_for(keyed.count()))
     )
     met = keyed.join(groups, F.col("key") == F.col("of")).where("node <> head")
     return met.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
 
 
-def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Each row with the ``root`` of its node among the links found so far."""
-    roots = components(found).select(F.col("node").alias("of_node"), "root")
-    met = members.join(roots, F.col("node") == F.col("of_node"), "left")
-    return pin(met.withColumn("root", F.coalesce("root", "node")).drop("of_node"))
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each row with the ``root`` of its node so far."""
+    named = roots.select(F.col("node").alias("of_node"), "root")
+    met = members.join(named, F.col("node") == F.col("of_node"), "left")
+    return met.withColumn("root", F.coalesce("root", "node")).drop("of_node")
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """``key, node, n, place, rank``: the rarest k-mers of each text, ``n`` in all, that another text has too.
+    """``key, node, n, place, rank, size, draw``: the rarest k-mers of each text, ``n`` in all, that another text has too.
 
     Two texts of which m of a + b - m k-mers agree, at ``SIMILARITY`` or above, have a k-mer in
     common among the n // 5 + 1 first of each, in whatever order all texts follow. With rare ones first, a
     passage that many texts have is no key unless it is most of a text. ``rank`` is the mean log
     count of all k-mers of a text: the text that others were made from has none that only it has.
+    ``draw`` lies between 0 and the ``size`` of the key, evenly, by the text's hash.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,66 +249,75 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     placed = counted.withColumn("place", F.row_number().over(one.orderBy("times", "key"))).withColumn(
         "rank", F.struct(F.round(F.avg(F.log("times")).over(one), 6), "tie")
     )
-    return pin(placed.where("times > 1 and place <= floor(n / 5) + 1").select("key", "node", "n", "place", "rank"))
+    keyed = pin(placed.where("times > 1 and place <= floor(n / 5) + 1").select("key", "node", "n", "place", "rank"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("of"), "size")
+    drawn = F.pmod(F.xxhash64("key", "rank.tie"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
+    met = keyed.join(sizes, F.col("key") == F.col("of")).withColumn("draw", drawn).drop("of")
+    return pin(met.coalesce(tasks_for(keyed.count())))
 
 
-def _apart(members: DataFrame, every: bool) -> DataFrame:
-    """Pairs of members of a key in different components: with its best-ranked member, or ``every`` one.
+def _apart(members: DataFrame, turn: int) -> DataFrame | None:
+    """Pairs of members of a key in different components that are due in this turn.
 
+    Turn 0 pairs a key's members with the best-ranked one, turn t with those whose draw is below
+    ``GROWTH`` ** t and that had no turn yet. So a key has a turn only while it is in several components
+    and some member had none, and what a turn lays out is at most ``GROWTH`` times what the one before did.
     Pairs too unlike in length, or with too few k-mers left after the key, cannot be similar.
+    None if no key is due, now or later.
     """
-    parts = members.groupBy("key", "root").agg(
-        F.count(F.lit(1)).alias("size"), F.max(F.struct("rank", "node", "n", "place")).alias("best")
+    before = GROWTH ** (turn - 1) if turn > 1 else 0
+    parts = members.where(F.col("size") > before).groupBy("key").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.struct("rank", "node", "root", "n", "place")).alias("best")
     )
-    mixed = pin(
-        parts.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("size", "root")).alias("main"), F.max_by(F.struct("root", "best"), "best").alias("top"))
-        .where("parts > 1")
-        .select(F.col("key").alias("of"), "main", F.col("top.root").alias("root2"), F.col("top.best.node").alias("node2"), F.col("top.best.n").alias("n2"), F.col("top.best.place").alias("place2"))
-    )
-    met = members.join(mixed, F.col("key") == F.col("of"))
-    if every:  # one of two members is outside the largest component of the key
-        others = met.select("of", *[F.col(c).alias(f"{c}2") for c in ("root", "node", "n", "place")])
-        ours = met.where("root <> main").select("key", "root", "node", "n", "place", "main")
-        met = ours.join(others, (F.col("key") == F.col("of")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))))
+    mixed = pin(parts.where("a <> b").select(F.col("key").alias("of"), "best").coalesce(tasks_for(members.count())))
+    if mixed.isEmpty():
+        return None
+    names = ("node", "root", "n", "place")
+    if turn:
+        due = members.where((F.col("draw") >= before) & (F.col("draw") < GROWTH**turn)).join(mixed.select("of"), F.col("key") == F.col("of"), "left_semi")
+        pivots = due.select(F.col("key").alias("of"), *[F.col(c).alias(f"{c}2") for c in names])
+    else:
+        pivots = mixed.select("of", *[F.col(f"best.{c}").alias(f"{c}2") for c in names])
     need = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("n2")) - 1e-6
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
-    good = met.where((F.col("root") != F.col("root2")) & (left >= need))
-    return good.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+    met = members.join(pivots, (F.col("key") == F.col("of")) & (F.col("root") != F.col("root2")) & (left >= need))
+    return met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
 
-def _rest(ours: DataFrame, texts: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-    """``found`` and the links among what the heads left apart.
+def _rest(ours: DataFrame, texts: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
+    """``roots`` with the links among what the heads left apart.
 
     A bucket is open if it has three members or more and they are in different components. Members of
-    open buckets are compared with the best-ranked one of each key of ``_prefixes``, then with all others
-    of their keys, until every pair is tested, in one component, or cannot be similar.
+    open buckets are compared within the keys of ``_prefixes``, turn by turn, until every pair of a key
+    is tested, in one component, or cannot be similar. Components are taken in after every turn.
     """
-    members = _rooted(ours.where("n > 2").select("key", "node"), found)
+    members = _rooted(ours.where("n > 2").select("key", "node"), roots)
     unsettled = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    wanted = pin(members.join(unsettled.select("key"), "key", "left_semi").select("node").distinct())
+    wanted = pin(members.join(unsettled.select("key"), "key", "left_semi").select("node").distinct().coalesce(tasks_for(ours.count())))
     if wanted.isEmpty():
-        return found
+        return roots
     keyed = _prefixes(texts.join(wanted, "node"))
-    for every in (False, True):
-        pairs = pin(_apart(_rooted(keyed, found), every).join(tested, ["u", "v"], "left_anti"))
+    rows = keyed.count()
+    turn = 0
+    while (due := _apart(pin(_rooted(keyed, roots).coalesce(tasks_for(rows))), turn)) is not None:
+        pairs = pin(due.join(tested, ["u", "v"], "left_anti").coalesce(tasks_for(rows)))
         n = pairs.count()
-        parts = min(MOST_PARTS, -(-n // PART_PAIRS))
+        parts = -(-n // PART_PAIRS)
         for i in range(parts):
-            some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == i)
+            some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == i) if parts > 1 else pairs
             if i:  # what earlier parts have put into one component is settled
-                roots = pin(components(found))
                 for c in ("u", "v"):
                     to = roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
                     some = some.join(to, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
                 some = some.where("root_u <> root_v").select("u", "v")
-            found = pin(found.unionByName(_aligned(some, texts)))
+            roots = joined(roots, _aligned(some, texts, min(n, PART_PAIRS)))
         tested = tested.unionByName(pairs)
-    return found
+        turn += 1
+    return roots
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (``u, v``) between nodes: candidates by bucket, each one aligned.
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, root`` by the links between nodes: candidates by bucket, each one aligned.
 
     A node's rank grows with how many nodes share its numbers. A text that others
     were made from keeps more of theirs than they have of each other, so the member
@@ -312,19 +326,22 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sketches = F.array(
         *[F.struct(F.lit(1 << i).alias("mask"), F.xxhash64(F.lit(i), F.col(c)).alias("key")) for i, c in enumerate(_NAMES)]
     )
+    rows = nodes.count()
+    tasks = tasks_for(rows * TABLES)
     single = nodes.select("node", "tie", F.explode(sketches).alias("k")).select("node", "tie", "k.key")
-    shared = pin(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "n"))
-    ours = pin(single.join(shared, F.col("key") == F.col("of")).select("node", "tie", "key", "n"))
+    shared = pin(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of"), "n").coalesce(tasks))
+    ours = pin(single.join(shared, F.col("key") == F.col("of")).select("node", "tie", "key", "n").coalesce(tasks))
     # How popular, in steps of about one per cent, above 51 bits of the text's hash.
     popular = F.floor(F.log2(F.sum("n")) * 64) * F.lit(1 << 51)
-    involved = pin(ours.groupBy("node", "tie").agg((popular + F.pmod("tie", F.lit(1 << 51))).alias("rank")))
+    involved = pin(ours.groupBy("node", "tie").agg((popular + F.pmod("tie", F.lit(1 << 51))).alias("rank")).coalesce(tasks_for(rows)))
     wanted = nodes.join(involved.select("node"), "node").select("node", F.col("digest").alias("of"))
     given = docs.select(text_digest(F.col("text")).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     met = given.join(wanted, F.col("d") == F.col("of"))
-    texts = pin(met.groupBy("node").agg(F.first("text").alias("text")))
+    texts = pin(met.groupBy("node").agg(F.first("text").alias("text")).coalesce(max(LEAST_ALIGNING, -(-rows // TEXTS_PER_TASK))))
 
-    tested = pin(_heads(ours.select("node", "key").join(involved.select("node", "rank"), "node")))
-    return _rest(ours, texts, _aligned(tested, texts), tested)
+    ranked = pin(ours.select("node", "key").join(involved.select("node", "rank"), "node").coalesce(tasks))
+    tested = pin(_heads(ranked).coalesce(tasks))
+    return _rest(ours, texts, components(_aligned(tested, texts, tested.count())), tested)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,21 +353,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows, nodes = _nodes(given)
-    edges = links(given, nodes)
+    roots = linked(given, nodes)
     named = nodes.select("node", "digest", "least_id")
-    roots = components(edges)
-    named = pin(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    tasks = tasks_for(nodes.count())
+    named = pin(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     sizes = named.join(copies, "digest").select("root", "copies", "least_id", "digest")
     order = F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("digest"))
     classes = pin(
         sizes.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min(order).alias("first"))
         .select(F.col("root").alias("of_root"), "class_size", F.col("first.least_id").alias("class_id"), F.col("first.digest").alias("keeper"))
+        .coalesce(tasks)
     )
     decided = pin(
         named.join(classes, F.col("root") == F.col("of_root")).select(
             F.col("digest").alias("of"), "class_id", "class_size", "least_id", (F.col("digest") == F.col("keeper")).alias("best")
-        )
+        ).coalesce(tasks)
     )
     return rows.join(decided, F.col("digest") == F.col("of")).select(
         "doc_id",
