@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventflow.functions.codec import decode_trade
-from eventflow.plans.prefix import running
+from eventflow.session import pin
 from eventflow.sinks.tables import read_keyed
 
 TOPIC = "trades"
@@ -34,27 +37,60 @@ def read_lines_with_offset(
 ) -> DataFrame:
     """Lines keyed by file and byte offset: ``path, offset, line``.
 
-    Lines end with LF or CR LF. A line's offset is the size of all lines before
-    it in its file; large files are read in splits and summed up split by split.
+    Lines end with LF or CR LF. Files are read twice: first the sizes
+    of the splits, a row each, are summed up per file and written; then each task counts on from where its split
+    starts. No line is shuffled while the table of splits is below Spark's broadcast threshold. Where the first line of a split stands depends on the split's start alone, so it does no
+    harm if the second reading splits otherwise, as long as the first one knows its starts; else the
+    reading fails. ``spread`` is accepted from earlier callers and changes nothing.
     """
     lines = (
         spark.read.option("lineSep", "\n")
         .text(path if isinstance(path, str) else list(path))
         .select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("__split"),
-            F.monotonically_increasing_id().alias("__row"),
-            F.col("value").alias("line"),
-            (F.octet_length("value") + 1).cast("bigint").alias("__size"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.col("value").cast("binary").alias("line"),
         )
     )
-    summed = running(
-        lines, ["path"], ["__split", "__row"], {"__end": ("sum", F.col("__size"))}, spread
+    sizes = lines.groupBy("path", "split").agg(F.sum(F.octet_length("line") + 1).alias("size"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # Written, so that its size is known when the join is planned: a row per split, broadcast while that is small.
+    bases = pin(
+        sizes.select(
+            F.col("path").alias("of"),
+            F.col("split").alias("start"),
+            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"),
+        )
     )
-    return summed.select(
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, at = None, 0  # the split of the last row, and the size of its lines so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paths = batch.column(0).dictionary_encode().indices.to_numpy()
+            splits = batch.column(1).to_numpy()
+            fresh = np.concatenate([[True], (paths[1:] != paths[:-1]) | (splits[1:] != splits[:-1])])
+            if (batch.column(0)[0].as_py(), splits[0]) != before:
+                at = 0
+            widths = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) + 1
+            ends = np.cumsum(widths) + at
+            starts = ends - widths
+            first = np.flatnonzero(fresh)
+            zero = np.repeat(starts[first], np.diff(np.append(first, len(starts))))
+            zero[: first[1] if len(first) > 1 else len(zero)] = 0  # counts on from the batch before
+            before, at = (batch.column(0)[-1].as_py(), splits[-1]), int(ends[-1] - zero[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(starts - zero), batch.column(2)], ["path", "split", "inside", "line"]
+            )
+
+    found = lines.mapInArrow(placed, "path string, split bigint, inside bigint, line binary")
+    met = found.join(bases, (F.col("path") == F.col("of")) & (F.col("split") == F.col("start")), "left")
+    known = F.coalesce("base", F.raise_error(F.lit("the files were split anew while they were read")).cast("bigint"))
+    return met.select(
         "path",
-        (F.col("__end") - F.col("__size")).alias("offset"),
-        F.regexp_replace("line", "\r$", "").alias("line"),
+        (known + F.col("inside")).alias("offset"),
+        F.regexp_replace(F.col("line").cast("string"), "\r$", "").alias("line"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventflow.functions import codec, values
@@ -616,6 +616,17 @@ def text_log_roundtrip(load):
     return rounded(zone_less(stats), "avg_ms")
 
 
+@query
+def text_line_widths(load):
+    """Log lines written as text files: how many have each width in bytes, by the offsets they are read with."""
+    path, spark = _new_path(load, "offsets"), load("events").sparkSession
+    files.write_lines(star.log_lines(load), path)
+    lines = readers.read_lines_with_offset(spark, path)
+    after = F.lead("offset").over(Window.partitionBy("path").orderBy("offset"))
+    end = F.coalesce(after, F.col("offset") + F.octet_length("line") + 1)
+    return lines.select((end - F.col("offset")).alias("width")).groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def tsv_word_count(load):
     """Word counts written as tab-separated lines and read again."""

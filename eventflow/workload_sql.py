@@ -560,6 +560,7 @@ NEEDS["monitored"] = ["trade"]
 sql("stream_trade_monitor", "monitored", "SELECT * FROM monitored")
 sql("stream_trade_monitor_profile", "monitored", ", measured AS" + _MONITORED_PROFILE)
 ORACLES["text_log_roundtrip"] = ORACLES["latency_log_stats"]
+sql("text_line_widths", "log_line", "SELECT strlen(value) + 1 AS width, count(*) AS n FROM log_line GROUP BY 1")
 ORACLES["tsv_word_count"] = ORACLES["word_count"]
 ORACLES["csv_latency_log"] = ORACLES["latency_log"]
 sql(

@@ -55,6 +55,30 @@ def test_offsets_are_byte_positions_per_file(spark, tmp_path, spread):
     assert keyed.columns == ["path", "key", "value"]
 
 
+def test_offsets_move_no_lines_and_hold_over_batches_and_packed_splits(spark, tmp_path):
+    texts = {f"{i}.txt": "".join(f"{i}-{j}-{'é' * (j % 7)}\r\n" * (j % 3) for j in range(i * 40)) for i in range(6)}
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    expected = set()
+    for name, text in texts.items():
+        at = 0
+        for line in text.encode().split(b"\n")[:-1]:
+            expected.add((name, at, line.decode().rstrip("\r")))
+            at += len(line) + 1
+    for options in ({"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}, {}):
+        options = options | {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+        for key, value in options.items():
+            spark.conf.set(key, value)
+        try:
+            lines = readers.read_lines_with_offset(spark, str(tmp_path))
+            assert "hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+            got = [(os.path.basename(r.path), r.offset, r.line) for r in lines.collect()]
+        finally:
+            for key in options:
+                spark.conf.unset(key)
+        assert len(got) == len(expected) and set(got) == expected
+
+
 def test_folder_layout_of_latency_logs(spark, tmp_path):
     write(tmp_path / "n1/run-a/t-1000/part-00000", "(k,1,5)\n(k,1,7)\nbroken\n")
     write(tmp_path / "n1/run-a/t-1000/x/part-00001", "(k,1,9)\n")
