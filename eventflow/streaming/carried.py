@@ -39,8 +39,9 @@ class Batch:
 
     def carried(self, name: str, schema: str) -> DataFrame:
         """What the micro-batch before left under this name; empty before the first."""
-        if self.number == 0:
-            return self.spark.createDataFrame([], schema)
+        if self.number == 0:  # made by Spark alone: rows given by Python, even none, start Python in all tasks
+            fields = T.StructType.fromDDL(schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         return self.spark.read.schema(schema).parquet(self._path("carried", name, self.number - 1))
 
     def carry(self, name: str, df: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
@@ -130,10 +131,10 @@ class Carried:
         """
         checkpoint = f"{self.root}/checkpoint"
         if feed is not None:
-            query = start(self.stream, self._do, checkpoint, every="0 seconds")
+            # Each step is a run of its own: a trigger that goes on meanwhile would find steps half given, and every
+            # micro-batch more is one more pass over what is carried.
             for _ in feed:
-                query.processAllAvailable()
-            query.stop()
+                start(self.stream, self._do, checkpoint).awaitTermination()
         else:
             start(self.stream, self._do, checkpoint).awaitTermination()
         if finish is not None:

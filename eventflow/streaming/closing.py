@@ -32,9 +32,9 @@ ROLLING = (
 LAST = "auction_id bigint, seller_id bigint, expires timestamp, average_price double"
 
 _OFFER = ["bid_id", "bid_ts", "price"]
-_LOT = ["seller_id", "category", "expires", "started"]
-_LOTS = f"{WON}, started timestamp, closed boolean"
-_MET = "of bigint, auction_id bigint, expires timestamp, bid_id bigint, bid_ts timestamp, price bigint"
+_LOT = ["seller_id", "category", "expires"]
+_LOTS = "auction_id bigint, seller_id bigint, category int, expires timestamp, started timestamp"
+_MET = f"of bigint, {WON}"
 _SUMS = "category int, carried_sum bigint, carried_n bigint, carried_end timestamp"
 _PRICES = "auction_id bigint, seller_id bigint, expires timestamp, price bigint"
 
@@ -43,9 +43,11 @@ Follow = Callable[[Batch, DataFrame], None]
 
 def _best(offers: DataFrame) -> DataFrame:
     """The winner of each auction: highest price, then earliest, then lowest id."""
-    merit = F.struct("price", (-F.unix_micros("bid_ts")).alias("a"), (-F.col("bid_id")).alias("b"))
-    won = offers.groupBy("auction_id").agg(F.max_by(F.struct(*_OFFER), merit).alias("w"))
-    return won.select(F.col("auction_id").alias("won_id"), "w.*")
+    # The auction's own columns are the same in all its rows and decide nothing.
+    merit = F.struct("price", (-F.unix_micros("bid_ts")).alias("a"), (-F.col("bid_id")).alias("b"), *_LOT)
+    won = offers.groupBy("auction_id").agg(F.max(merit).alias("w"))
+    id_and_time = [(-F.col("w.b")).alias("bid_id"), F.timestamp_micros(-F.col("w.a")).alias("bid_ts")]
+    return won.select("auction_id", *[f"w.{n}" for n in _LOT], *id_and_time, "w.price")
 
 
 def winning_bids(
@@ -79,32 +81,29 @@ def winning_bids(
             batch.emit("late", late)
         at, ends = F.unix_micros("bid_ts"), F.unix_micros("expires")
         # What was carried is all that the micro-batch before had; what was over or given up then is left out.
-        lots, waiting = batch.carried("lots", _LOTS), batch.carried("met", _MET).where("auction_id is null")
-        closed, gone = F.lit(False), F.lit(False)
+        lots, leading = batch.carried("lots", _LOTS), batch.carried("leading", WON).where("bid_id is not null")
+        waiting = batch.carried("met", _MET).where("auction_id is null")
+        still, gone, over = F.lit(True), F.lit(False), F.lit(False)
         if before is not None:
-            closed = ends < before
-            lots, waiting = lots.where(ends >= before - keep), waiting.where(at >= before - keep)
-        known = _known(lots.withColumn("closed", closed), rows.where("kind = 'auction'"))
+            lots, leading = lots.where(ends >= before - keep), leading.where(ends >= before)
+            waiting = waiting.where(at >= before - keep)
+        if mark is not None:
+            still, over = ends >= mark - keep, ends < mark
+            gone = F.col("auction_id").isNull() & (at < mark - keep)
+        known = batch.carry("lots", _known(lots, rows.where("kind = 'auction'")), {"lots": F.count_if(still)})
         new = rows.where("kind = 'bid' and ts is not null").select(
             F.col("key").alias("of"), "bid_id", F.col("ts").alias("bid_ts"), "price"
         )
         asked = waiting.select("of", *_OFFER).unionByName(new)
         belongs = (at >= F.unix_micros("started") - keep) & (at <= ends + keep)
-        lots_only = known.select("auction_id", "started", "expires")
-        met = asked.join(lots_only, (F.col("of") == F.col("auction_id")) & belongs, "left")
-        if mark is not None:
-            gone = F.col("auction_id").isNull() & (at < mark - keep)
+        met = asked.join(known, (F.col("of") == F.col("auction_id")) & belongs, "left").drop("started")
+        # Bids between the expiry and the end of the wait have met their auction, and that is all.
+        met = met.where("auction_id is null or bid_ts <= expires")
         counted = {"waiting": F.count_if(F.col("auction_id").isNull() & ~gone), "orphans": F.count_if(gone)}
-        met = batch.carry("met", met.select("of", "auction_id", "expires", *_OFFER), counted)
-        leading = known.where("bid_id is not null").select("auction_id", *_OFFER)
-        best = _best(met.where("bid_ts <= expires").select("auction_id", *_OFFER).unionByName(leading))
-        joined = known.drop(*_OFFER).join(best, F.col("auction_id") == F.col("won_id"), "left")
-        lots_now = joined.select("auction_id", *_LOT, *_OFFER, "closed")
-        still = F.lit(True) if mark is None else ends >= mark - keep
-        lots_now = batch.carry("lots", lots_now, {"lots": F.count_if(still)})
-        over = F.lit(False) if mark is None else ends < mark
-        won = lots_now.where(over & ~F.col("closed") & F.col("bid_id").isNotNull())
-        won = batch.emit("won", won.drop("closed", "started"))
+        met = batch.carry("met", met, counted)
+        best = _best(met.where("auction_id is not null").drop("of").unionByName(leading))
+        best = batch.carry("leading", best)
+        won = batch.emit("won", best.where(over & F.col("bid_id").isNotNull()))
         if batch.counts["orphans"]:
             due = F.timestamp_micros(at + keep)
             given_up = met.where(gone).select(F.col("of").alias("auction_id"), *_OFFER)
@@ -118,17 +117,9 @@ def winning_bids(
 
 def _known(old: DataFrame, rows: DataFrame) -> DataFrame:
     """Auctions carried over and new ones, one row each."""
-    new = rows.groupBy("key").agg(
-        F.min(F.struct(F.col("ts").alias("started"), "expires", "seller_id", "category")).alias("lot")
-    )
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in zip(_OFFER, ("bigint", "timestamp", "bigint"), strict=True)]
-    opened = new.select(
-        F.col("key").alias("auction_id"), *[F.col(f"lot.{n}") for n in _LOT], *nothing, F.lit(False).alias("closed")
-    )
-    both = old.withColumn("rank", F.lit(0)).unionByName(opened.withColumn("rank", F.lit(1)))
-    rest = [*_LOT, *_OFFER, "closed"]
-    first = both.groupBy("auction_id").agg(F.min_by(F.struct(*rest), "rank").alias("lot"))
-    return first.select("auction_id", "lot.*").where("expires is not null")
+    new = rows.groupBy("key").agg(F.min(F.struct(F.col("ts").alias("started"), "expires", "seller_id", "category")).alias("lot"))
+    opened = new.select(F.col("key").alias("auction_id"), "lot.*").where("expires is not null")
+    return old.unionByName(opened.join(old.select("auction_id"), "auction_id", "left_anti"))
 
 
 def rolling_averages(batch: Batch, won: DataFrame) -> None:

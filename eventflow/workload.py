@@ -713,16 +713,12 @@ def replayed_bids(load: star.Load, follow=None, wait: str = ANY_TIME) -> Carried
     spark = load("orders").sparkSession
     replay = Replay(spark, RANGE)
 
-    def given(name: str, rows: DataFrame, ts: str) -> DataFrame:
-        end = star.end_rows(spark, name, rows.schema)
-        return replay.add(name, rows, ts, end)
-
-    streams = {
-        "orders": given("orders", load("orders"), "o_orderdate"),
-        "lineitem": given("lineitem", load("lineitem"), "l_shipdate"),
-    }
-    auctions = W.with_event_time(star.auctions(streams.__getitem__), "ts", RANGE)
-    bids = W.with_event_time(star.auction_bids(streams.__getitem__), "ts", RANGE)
+    def given(name: str, view: Callable[[star.Load], DataFrame]) -> DataFrame:
+        # Replayed are the view's columns, not all those of the table.
+        end = view(lambda table: star.end_rows(spark, table, load(table).schema))
+        return W.with_event_time(replay.add(name, view(load), "ts", end), "ts", RANGE)
+
+    auctions, bids = given("orders", star.auctions), given("lineitem", star.auction_bids)
     return SC.winning_bids(auctions, bids, wait, follow).run(replay.feed())
 
 

@@ -1,6 +1,7 @@
 """Streams that carry tables: winning bids over restarts, repeats, late rows and orphans; replay by time."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -82,6 +83,46 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     assert {(r.auction_id, r.bid_id) for r in run.table("won", SC.WON).collect()} == {(1, 13)}
 
 
+def test_a_step_given_slowly_is_one_batch(spark, tmp_path):
+    """Each micro-batch is a pass over what is carried, so a step's files must not be worked off one by one."""
+    lots, offers = Feed(spark, tmp_path / "auctions", schemas.AUCTION), Feed(spark, tmp_path / "bids", schemas.BID)
+    run = SC.winning_bids(lots.stream(), offers.stream(), "50 seconds", folder=str(tmp_path / "run"))
+
+    def feed():
+        for auctions, bids in [
+            ([(1, at(0), 5, 0, at(40))], [(10, at(5), 1, 7), (11, at(45), 1, 9)]),
+            ([(2, at(60), 5, 0, at(90))], [(12, at(61), 2, 5)]),
+            MARK,
+        ]:
+            lots.add(auctions)
+            time.sleep(3)
+            offers.add(bids)
+            yield
+
+    run.run(feed())
+    assert sorted(run.notes("state")) == [0, 1, 2]
+    assert {(r.auction_id, r.bid_id) for r in run.table("won", SC.WON).collect()} == {(1, 10), (2, 12)}
+
+
+def test_what_is_decided_is_not_carried(spark, tmp_path):
+    """Bids after the expiry go no further; a winner that was emitted is not carried again."""
+    steps = [
+        ([(1, at(0), 5, 0, at(40)), (2, at(1), 5, 0, at(900))], [(10, at(5), 1, 7), (11, at(45), 1, 9), (12, at(46), 3, 9)]),
+        ([(4, at(80), 5, 0, at(900))], [(13, at(80), 2, 5)]),
+        ([(5, at(90), 5, 0, at(900))], [(14, at(90), 2, 4)]),
+    ]
+    run = work_off(spark, tmp_path, steps)
+
+    def carried(name, number, column):
+        rows = spark.read.parquet(f"{run.root}/carried/{name}/batch_id={number}")
+        return sorted(r[0] for r in rows.select(column).collect())
+
+    assert {(r.auction_id, r.bid_id) for r in run.table("won", SC.WON).collect()} == {(1, 10)}
+    assert carried("met", 1, "bid_id") == [12, 13]
+    assert carried("leading", 2, "bid_id") == [13]
+    assert carried("lots", 2, "auction_id") == [1, 2, 4, 5]
+
+
 def test_a_repeated_batch_counts_once(spark, tmp_path):
     lots, offers = Feed(spark, tmp_path / "auctions", schemas.AUCTION), Feed(spark, tmp_path / "bids", schemas.BID)
     run = SC.winning_bids(lots.stream(), offers.stream(), "50 seconds", SC.rolling_averages, str(tmp_path / "run"))
