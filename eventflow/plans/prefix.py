@@ -10,16 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventflow.plans.sizes import slices_for
-from eventflow.plans.skew import hot_keys
+from eventflow.plans.skew import HOT_KEYS, hot_keys
 from eventflow.session import pin
 
 _SLICE = "__slice"
 _BLOCK = "__block"
 _POSITION = "__position"
+_AT = "__at"
+_ROW = "__row"
 
 BLOCK_ROWS = 1_000_000
 
@@ -60,6 +64,7 @@ def running(
     costly to compute and should be written once rather than computed again.
     """
     keys = list(keys)
+    first = order[0] if _counts_only(df, keys, order, aggs) else None
     order = [F.col(c) if isinstance(c, str) else c for c in order]
 
     def plain(rows: DataFrame) -> DataFrame:
@@ -71,6 +76,14 @@ def running(
     def sliced(rows: DataFrame) -> DataFrame:
         return _running_in_slices(rows, keys, order, aggs, slices)
 
+    number = 1 if first is None or derived or spread is False else slices or slices_for(df)
+    if number > 1:
+        hot = _hot_groups(df, keys, number, spread)
+        if not hot:
+            return plain(df)
+        bounds = _bounds(df, first, number)
+        if bounds is not None:
+            return _counts_in_ranges(df, keys, order, aggs, F.col(first), bounds, hot)
     return _by_group_size(df, keys, spread, derived, plain, sliced)
 
 
@@ -131,6 +144,63 @@ def _running_in_slices(
     )
 
 
+def _counts_only(
+    df: DataFrame, keys: list[str], order: Sequence[Column | str], aggs: dict[str, tuple[str, Column]]
+) -> bool:
+    """Whether these are counts per key, in an order that begins with a whole number."""
+    known = keys and isinstance(order[0], str) and order[0] in df.columns
+    whole = known and isinstance(df.schema[order[0]].dataType, T.IntegralType)
+    return bool(whole) and all(kind == "count" for kind, _ in aggs.values())
+
+
+def _hot_groups(df: DataFrame, keys: list[str], slices: int, spread: bool | None) -> list:
+    """Hashes of the keys that hold more rows than a slice; unless all is to be spread, a hot key's number at least.
+
+    There are no more of them than slices, so the sketch is small.
+    """
+    share = 1 / min(slices, HOT_KEYS)
+    groups = df.select(F.xxhash64(*keys).alias("group"))
+    return hot_keys(groups, "group", share, 1 if spread else None)
+
+
+def _bounds(df: DataFrame, column: str, slices: int) -> list[float] | None:
+    """Values that cut the rows into ranges of about the same size; None where they do not."""
+    shares = [i / slices for i in range(1, slices)]
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * slices)).first()[0]
+    # A value found twice holds a range's rows or more by itself.
+    return None if not found or len(set(found)) < len(shares) else found
+
+
+def _counts_in_ranges(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    aggs: dict[str, tuple[str, Column]],
+    first: Column,
+    bounds: list[float],
+    hot: list,
+) -> DataFrame:
+    """Running counts where the rows of hot keys are cut into slices by the first column of the order.
+
+    The slice of a row follows from the row, so nothing has to be written and rows are shuffled once. A group
+    of one slice and key has no more rows than the slice. What earlier slices hold of a hot key comes
+    as a row before all others of the key.
+    """
+    large = F.xxhash64(*keys).isin(hot)
+    at = F.coalesce(first.cast("double"), F.lit(float("-inf")))  # nulls come first in the order too
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_AT, outputCol=_SLICE)
+    rows = cut.transform(df.withColumn(_AT, at)).drop(_AT)
+    rows = rows.withColumn(_SLICE, F.when(large, F.col(_SLICE).cast("int")).otherwise(-1))
+    carry = _carried_in(rows.where(large), keys, aggs).toDF(_SLICE, *keys, *[_before(name) for name in aggs])
+    single = rows.withColumns(
+        {_before(name): F.when(value.isNotNull(), 1).otherwise(0).cast("bigint") for name, (_, value) in aggs.items()}
+    )
+    both = single.withColumn(_ROW, F.lit(1)).unionByName(carry.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
+    frame = _to_here([_SLICE, *keys], [F.col(_ROW), *order])
+    counted = {name: F.coalesce(F.sum(_before(name)).over(frame), F.lit(0).cast("bigint")) for name in aggs}
+    return both.withColumns(counted).where(F.col(_ROW) == 1).select(*df.columns, *aggs)
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,11 +1,12 @@
 """Spread running aggregates and trailing frames against plain loops, with hot keys."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from eventflow.plans import prefix, skew
 from eventflow.plans.prefix import running, trailing, with_position
 from eventflow.plans.sizes import input_bytes, slices_for, will_broadcast
 
@@ -49,6 +50,32 @@ def test_running_matches_loop(spark, slices, keyed):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("spread", [True, None])
+def test_counts_of_hot_keys_take_one_shuffle(spark, spread, monkeypatch):
+    """A key of two thirds, the rest small or null; null places and values; nothing is written on the way."""
+
+    def refused(_):
+        raise AssertionError("rows written")
+
+    monkeypatch.setattr(prefix, "pin", refused)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    rng = random.Random(11)
+    places = [None, *range(899)]
+    rng.shuffle(places)
+    rows = [(rng.choice([0, 0, 0, 0, None, rng.randrange(1, 90)]), i, None if i and i % 7 == 0 else 1) for i in places]
+    df = spark.createDataFrame(rows, "k int, i long, v int").repartition(5)
+    aggs = {"n": ("count", F.lit(1)), "given": ("count", F.col("v"))}
+    plain = running(df, ["k"], ["i"], aggs, spread=False)
+    got = running(df, ["k"], ["i"], aggs, spread=spread, slices=6)
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert Counter(got.collect()) == Counter(plain.collect())
+    # One value of the order on half of all rows cuts into no ranges: the rows are sliced as before.
+    monkeypatch.undo()
+    tied = df.withColumn("o", F.when(F.col("i") < 450, 5).otherwise(F.col("i")).cast("int"))
+    got, plain = (with_position(tied, ["k"], ["o", "i"], "n", s, 6) for s in (True, False))
+    assert Counter(got.collect()) == Counter(plain.collect())
+
+
 def test_running_skips_null_values(spark):
     rows = [(i, None if i % 3 else i) for i in range(30)]
     df = spark.createDataFrame(rows, "o int, v int")
