@@ -1,10 +1,7 @@
-"""Suffixes of a buffer in order, compared by hashes of what they share.
+"""Suffixes of a buffer in order, and hashes of its stretches.
 
-The hash of any stretch comes from prefix sums of bytes times powers, so how far
-two suffixes agree is found by binary search in a few steps. Runs are merged
-bottom up, all pairs of one width at a time. Hashes only propose: common lengths
-and order are then checked on the bytes, and a buffer in which a hash misled is
-sorted by its bytes.
+Suffixes are read up to a given size, so they are sorted as strings of that size, by their bytes. The hash
+of any stretch comes from prefix sums of bytes times powers.
 """
 
 from __future__ import annotations
@@ -34,62 +31,10 @@ class Hashed:
         terms = (buffer.astype(np.uint64) + np.uint64(1)) * self._up[: len(buffer)]
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
 
-    def same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether the hashes of n bytes from i and from j agree."""
-        left = (self._sums[i + n] - self._sums[i]) * self._up[j]
-        return left == (self._sums[j + n] - self._sums[j]) * self._up[i]
-
     def at(self, i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """Hashes of n bytes from i; they depend on those bytes only."""
         return (self._sums[i + n] - self._sums[i]) * self._down[i]
 
-    def common(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many bytes from i and j agree, ``most`` at most."""
-        low, high = np.zeros(len(i), np.int64), most.copy()
-        for _ in range(int(most.max(initial=0)).bit_length()):
-            middle = (low + high + 1) >> 1
-            good = self.same(i, j, middle)
-            low = np.where(good, middle, low)
-            high = np.where(good, high, np.maximum(middle - 1, low))
-        return low
-
-
-def _before(text: Hashed, at: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether suffix i comes before suffix j; the shorter one where one begins the other."""
-    n = text.common(at[i], at[j], np.minimum(size[i], size[j]))
-    ends = (n == size[i]) | (n == size[j])
-    last = len(text.bytes) - 1
-    smaller = text.bytes[np.minimum(at[i] + n, last)] < text.bytes[np.minimum(at[j] + n, last)]
-    return np.where(ends, size[i] < size[j], smaller)
-
-
-def _merged(text: Hashed, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    n = len(at)
-    order, width = np.arange(n), 1
-    while width < n:
-        place = np.arange(n)
-        run = place // width
-        other = run ^ 1
-        low = np.minimum(other * width, n)
-        high = np.minimum(low + width, n)
-        first, mine = low.copy(), order
-        right = (run & 1) == 1
-        for _ in range(width.bit_length()):
-            open_ = low < high
-            middle = (low + high) >> 1
-            theirs = order[np.minimum(middle, n - 1)]
-            # Those of the other run that come before: of equal ones, the left run's.
-            goes = np.where(
-                right, ~_before(text, at, size, mine, theirs), _before(text, at, size, theirs, mine)
-            )
-            low = np.where(open_ & goes, middle + 1, low)
-            high = np.where(open_ & ~goes, middle, high)
-        spot = (run & ~1) * width + place % width + (low - first)
-        merged = np.empty(n, np.int64)
-        merged[spot] = order
-        order, width = merged, 2 * width
-    return order
-
 
 def sorted_suffixes(text: Hashed, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes (starts ``at``, read up to ``size`` bytes) and what each shares with the one before it."""
@@ -100,19 +45,14 @@ def sorted_suffixes(text: Hashed, at: np.ndarray, size: np.ndarray) -> tuple[np.
     inside = column[None, :] < size[:, None]
     where = np.minimum(at[:, None] + column[None, :], max(0, len(text.bytes) - 1))
     rows = np.where(inside, text.bytes[where].astype(np.int16) + 1, 0)  # 0: past the end
-    order = _merged(text, at, size)
-    shared, right = _checked(rows[order])
-    if not right:
-        order = np.lexsort(rows.T[::-1])
-        shared, _ = _checked(rows[order])
+    # Two bytes a place, the greater one first: compared as strings in C they stand in the order of the numbers.
+    order = np.argsort(rows.astype(">u2").view(f"S{2 * widest}").ravel(), kind="stable") if widest else np.arange(n)
+    shared = _shared(rows[order])
     return order, np.minimum(shared, np.concatenate([[0], np.minimum(size[order][1:], size[order][:-1])]))
 
 
-def _checked(rows: np.ndarray) -> tuple[np.ndarray, bool]:
-    """What neighbours share, byte by byte, and whether they are in order."""
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """What neighbours share, byte by byte."""
     differ = rows[1:] != rows[:-1]
-    some = differ.any(axis=1)
-    at = np.where(some, differ.argmax(axis=1), rows.shape[1])
-    i = np.flatnonzero(some)
-    right = bool((rows[i, at[i]] < rows[i + 1, at[i]]).all())
-    return np.concatenate([[0], at]), right
+    at = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]) if rows.shape[1] else np.zeros(len(differ), int)
+    return np.concatenate([[0], at])

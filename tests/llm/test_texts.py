@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -66,6 +67,15 @@ def test_repeats_of_odd_rows(odd, odd_rows, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffixes_are_sorted_by_their_bytes_alone():
+    """No hashes are asked on the way; equal suffixes keep their order, and a shorter one comes first."""
+    data = np.frombuffer(b"ab\x00ab\x00\x00\xffab", np.uint8)
+    at, size = np.array([3, 0, 0, 7, 2, 8]), np.array([2, 2, 3, 3, 1, 2])
+    order, shared = suffix_sort.sorted_suffixes(SimpleNamespace(bytes=data), at, size)
+    assert order.tolist() == [4, 0, 1, 5, 2, 3]
+    assert shared.tolist() == [0, 0, 2, 2, 2, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=30), min_size=1, max_size=30))
 def test_suffix_order(bodies):
